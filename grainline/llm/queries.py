@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from .licenses import op5_rare_word_index
 from .packing import op4_best_fit_decreasing
 from .quality import op3_quality_cascade
 from .sharding import op8_stratified_interleave
+from .simhash import op6_vantage_point_trees
 from .token_files import op7_bit_packed_ids
+from .urls import op1_redirect_equivalence
 
 QUERIES = {
+    "op1_redirect_equivalence": op1_redirect_equivalence,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_best_fit_decreasing": op4_best_fit_decreasing,
+    "op5_rare_word_index": op5_rare_word_index,
+    "op6_vantage_point_trees": op6_vantage_point_trees,
     "op7_bit_packed_ids": op7_bit_packed_ids,
     "op8_stratified_interleave": op8_stratified_interleave,
 }
