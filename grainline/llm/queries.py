@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import op5_rare_word_index
+from .lm import op10_backoff_automaton
 from .packing import op4_best_fit_decreasing
 from .quality import op3_quality_cascade
 from .sharding import op8_stratified_interleave
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_vantage_point_trees": op6_vantage_point_trees,
     "op7_bit_packed_ids": op7_bit_packed_ids,
     "op8_stratified_interleave": op8_stratified_interleave,
+    "op10_backoff_automaton": op10_backoff_automaton,
 }
 
 ORACLE_SQL: dict[str, str] = {}
