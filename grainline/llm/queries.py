@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
+from .decontamination import op2_template_windows
+from .html_text import op9_crf_blocks
 from .licenses import op5_rare_word_index
 from .lm import op10_backoff_automaton
 from .packing import op4_best_fit_decreasing
@@ -13,13 +17,16 @@ from .urls import op1_redirect_equivalence
 
 QUERIES = {
     "op1_redirect_equivalence": op1_redirect_equivalence,
+    "op2_template_windows": op2_template_windows,
     "op3_quality_cascade": op3_quality_cascade,
     "op4_best_fit_decreasing": op4_best_fit_decreasing,
     "op5_rare_word_index": op5_rare_word_index,
     "op6_vantage_point_trees": op6_vantage_point_trees,
     "op7_bit_packed_ids": op7_bit_packed_ids,
     "op8_stratified_interleave": op8_stratified_interleave,
+    "op9_crf_blocks": op9_crf_blocks,
     "op10_backoff_automaton": op10_backoff_automaton,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {}
