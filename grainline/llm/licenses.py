@@ -107,7 +107,7 @@ def scanned(df: DataFrame, text: str = "text", index: Index | None = None) -> Da
         f"""transform(filter(_gl_hits, h -> NOT h.base), h -> named_struct('label', h.label, 'start', CAST(h.start AS BIGINT), 'end', CAST(h.start + h.n AS BIGINT),
             'coverage', aggregate(transform(get(array({words}), h.k).words, (t, j) -> if(h.zero + j >= 0 AND get(_gl_w, h.zero + j) <=> t.w, t.idf, 0D)), 0D, (a, x) -> a + x, a -> least(1D, a / get(array({words}), h.k).sum)))) AS _gl_own""",
     )
-    return d.selectExpr(
+    d = d.selectExpr(
         *keep,
         "n_words",
         "CAST(size(_gl_base) AS BIGINT) AS n_base",
@@ -118,6 +118,8 @@ def scanned(df: DataFrame, text: str = "text", index: Index | None = None) -> Da
         "coalesce(greatest(array_max(_gl_own.coverage), if(size(_gl_base) > 0, 0.5D, 0D)), 0D) AS score",
         "_gl_own AS matches",
     )
+    # a generator, so that the planner doesn't copy these expressions into every filter on a result
+    return d.selectExpr(*keep, f"inline(array(struct({', '.join(out)})))")
 
 
 def op5_rare_word_index(spark, sf_dir: str) -> DataFrame:
