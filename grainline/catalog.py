@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from grainline.plans import attribute_queries, graph_queries, store_queries
+
+QUERIES = graph_queries.QUERIES | attribute_queries.QUERIES | store_queries.QUERIES
+ORACLE_SQL = graph_queries.SQL | attribute_queries.SQL | store_queries.SQL
