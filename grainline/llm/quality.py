@@ -66,21 +66,26 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     d = d.selectExpr(*keep, "_gl_t", "_gl_m", "sort_array(transform(_gl_t, (t, i) -> (t & ~_gl_m) | i)) AS _gl_s")
     same = "coalesce((s & ~_gl_m) = (get(_gl_s, k {0} 1) & ~_gl_m) AND get(_gl_t, CAST(s & _gl_m AS INT)) = get(_gl_t, CAST(get(_gl_s, k {0} 1) & _gl_m AS INT)), false)"
     d = d.selectExpr(*keep, f"sort_array(transform(filter(_gl_s, (s, k) -> {same.format('-')} OR {same.format('+')}), s -> s & _gl_m)) AS _gl_p")
-    return d.selectExpr(*keep, "aggregate(transform(_gl_p, (p, k) -> if(k = 0, 3L, least(3L, p - get(_gl_p, k - 1)))), 0L, (a, x) -> a + x) AS n_repeat_words")
+    d = d.selectExpr(*keep, "aggregate(transform(_gl_p, (p, k) -> if(k = 0, 3L, least(3L, p - get(_gl_p, k - 1)))), 0L, (a, x) -> a + x) AS n_repeat_words")
+    # a generator, so that the planner doesn't copy these expressions into every filter on a count
+    return d.selectExpr(*[c for c in keep if c not in BASE], f"inline(array(struct({', '.join(BASE)})))")
 
 
-def ordered(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ordered(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The rules by rejections per second, each counted on what the rules before it leave.
 
-    df has the columns of measured(). Cost is the time of a rule alone over a sample, less that of
+    Rows are sampled before they are measured. Cost is the time of a rule alone over a sample, less that of
     reading it; selectivity comes from one count by which rules fail. The order changes the cost of
     cascade(), never its result.
     """
     n = df.count()
     spark = df.sparkSession
-    sample = df.sample(min(1.0, 1.5 * sample_rows / max(n, 1)), seed=42).limit(sample_rows)
+    sample = df.select(text).sample(min(1.0, 1.5 * sample_rows / max(n, 1)), seed=42).limit(sample_rows)
     path = written_path(sample, "quality-sample")
-    sample = spark.read.schema(df.schema).parquet(path)
+    measures = measured(spark.read.schema(sample.schema).parquet(path), text)
+    measured_path = written_path(measures, "quality-sample")
+    remove(spark, path)
+    path, sample = measured_path, spark.read.schema(measures.schema).parquet(measured_path)
     fails = [F.coalesce(F.expr(r.fails), F.lit(False)) for r in rules]
 
     def seconds(c: Column) -> float:
@@ -120,7 +125,7 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     table gives an empty one. Columns of df with these names are replaced.
     """
     d = measured(df.drop("base_failed", "failed_rule", "kept"), text)
-    order = ordered(d, rules)
+    order = ordered(df, text, rules)
     d = d.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
     d = d.withColumn("failed_rule", F.when(~F.col("base_failed"), cascade(d, order)))
     return d.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("_gl_text")
