@@ -47,15 +47,17 @@ Predict = Callable[[np.ndarray], np.ndarray]
 
 def order_k(rows: DataFrame, k: int = 4, context: int = CONTEXT) -> Predict:
     """Back-off from the last k symbols to fewer. The table has at most the sum of 13**i entries."""
+    # one pass counts the longest contexts; shorter ones are sums of them
+    code = F.lit(0).cast("bigint")
+    for c in [*[f"c{i}" for i in range(context - k + 1, context + 1)], "y"]:
+        code = code * SYMBOLS + F.col(c)
+    counts = np.zeros(SYMBOLS ** (k + 1), np.int64)
+    for r in rows.groupBy(code.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
+        counts[r["at"]] = r["n"]
     tables = []
     for j in range(k, -1, -1):
-        table = np.full(SYMBOLS**j, -1, np.int8)
-        for r in order_k_table(rows, j, context).collect():
-            at = 0
-            for s in r["context"].split(",") if r["context"] else []:
-                at = at * SYMBOLS + int(s)
-            table[at] = r["sym"]
-        tables.append((j, table))
+        own = counts.reshape(SYMBOLS ** (k - j), SYMBOLS**j, SYMBOLS).sum(0)
+        tables.append((j, np.where(own.sum(1) > 0, own.argmax(1), -1).astype(np.int8)))
 
     def predict(x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), -1, np.int8)
@@ -139,18 +141,34 @@ def fit(rows: DataFrame, name: str, **options) -> Predict:
     return MODELS[name](rows, **options)
 
 
-def corrections(symbols: DataFrame, predict: Predict, context: int = CONTEXT) -> DataFrame:
+def _grid(rows: pd.DataFrame, segs: np.ndarray, segment: int) -> np.ndarray:
+    """One row per segment of ascending segs, -1 where rows (seg, pos, sym) have nothing."""
+    grid = np.full((len(segs), segment), -1, np.int8)
+    grid[np.searchsorted(segs, rows["seg"].to_numpy(np.int64)), rows["pos"].to_numpy(np.int64) % segment] = rows["sym"].to_numpy(np.int8)
+    return grid
+
+
+def _rows(grid: np.ndarray, keep: np.ndarray, segs: np.ndarray, segment: int) -> pd.DataFrame:
+    i, k = np.nonzero(keep)
+    return pd.DataFrame({"seg": segs[i], "pos": segs[i] * segment + k, "sym": grid[i, k]})
+
+
+def corrections(symbols: DataFrame, predict: Predict, segment: int = SEGMENT, context: int = CONTEXT, batch: int = 64) -> DataFrame:
     """(seg, pos, sym) of every symbol that the decoder can't know: a segment's first ones, the last of all, and wrong predictions."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        s = rows["sym"].to_numpy().astype(np.int8)
-        keep = np.ones(len(s), bool)
-        if len(s) > context:
-            keep[context:] = predict(np.lib.stride_tricks.sliding_window_view(s, context)[:-1]) != s[context:]
-        return rows[keep | (s == END)]
-
-    return symbols.groupBy("seg").applyInPandas(run, "seg bigint, pos bigint, sym tinyint")
+        segs = np.unique(rows["seg"].to_numpy(np.int64))
+        grid = _grid(rows, segs, segment)
+        before = np.lib.stride_tricks.sliding_window_view(grid, context, axis=1)[:, :-1]
+        there = grid[:, context:] >= 0
+        keep = grid >= 0
+        found = np.zeros_like(there)
+        found[there] = predict(before[there]) != grid[:, context:][there]
+        keep[:, context:] = found | (grid[:, context:] == END)
+        return _rows(grid, keep, segs, segment)
+
+    d = symbols.withColumn("_b", F.expr(f"seg DIV {batch}"))
+    return d.groupBy("_b").applyInPandas(run, "seg bigint, pos bigint, sym tinyint")
 
 
 def restored(table: DataFrame, lengths: DataFrame, predict: Predict, segment: int = SEGMENT, context: int = CONTEXT, batch: int = 64) -> DataFrame:
@@ -158,17 +176,13 @@ def restored(table: DataFrame, lengths: DataFrame, predict: Predict, segment: in
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         n = rows.groupby("seg")["n"].first().sort_index()
-        place = {s: k for k, s in enumerate(n.index)}
-        grid = np.full((len(n), segment), -1, np.int8)
-        rows = rows[rows["pos"].notna()]
-        grid[rows["seg"].map(place).to_numpy(int), (rows["pos"] % segment).to_numpy(int)] = rows["sym"].to_numpy(np.int8)
-        ends = n.to_numpy(int)
+        segs, ends = n.index.to_numpy(np.int64), n.to_numpy(np.int64)
+        grid = _grid(rows[rows["pos"].notna()], segs, segment)
         for k in range(context, segment):
-            open_ = np.flatnonzero((grid[:, k] < 0) & (ends > k))
-            if len(open_):
-                grid[open_, k] = predict(grid[open_, k - context : k])
-        out = [(s, s * segment + k, grid[i, k]) for i, (s, e) in enumerate(zip(n.index, ends, strict=True)) for k in range(e)]
-        return pd.DataFrame(out, columns=["seg", "pos", "sym"])
+            unknown = np.flatnonzero((grid[:, k] < 0) & (ends > k))
+            if len(unknown):
+                grid[unknown, k] = predict(grid[unknown, k - context : k])
+        return _rows(grid, np.arange(segment) < ends[:, None], segs, segment)
 
     d = lengths.join(table, "seg", "left").withColumn("_b", F.expr(f"seg DIV {batch}"))
     return d.groupBy("_b").applyInPandas(run, "seg bigint, pos bigint, sym tinyint")

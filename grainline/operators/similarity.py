@@ -46,9 +46,20 @@ def unit(a: Column) -> Column:
     return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
 
 
+def char_bag(text: Column, bins: int = 256) -> Column:
+    """The text's character bins as a set: the n-th of a bin's characters is a member of its own."""
+    codes = F.sort_array(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.least(F.greatest(F.ascii(c) - 32, F.lit(0)), F.lit(bins - 1)).cast("bigint")))
+    return F.transform(codes, lambda c, i: (i + 1 - F.array_position(codes, c)) * bins + c)
+
+
+def bag_l1(a: Column, b: Column) -> Column:
+    """The L1 distance of two bags' counts: what is in one of them only."""
+    return (F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))).cast("double")
+
+
 DISTANCES = {
     "edit": lambda a, b: F.levenshtein(a, b).cast("double"),
-    "word_bag": lambda a, b: l1(char_counts(a), char_counts(b)).cast("double"),
+    "word_bag": lambda a, b: bag_l1(char_bag(a), char_bag(b)),
     "cosine": lambda a, b: F.lit(1.0) - dot(a, b),
 }
 
@@ -61,8 +72,8 @@ def window_distances(df: DataFrame, w: int, value: str, method: str, pos: str =
     if method == "cosine":
         d = df.select(pos, unit(F.col(value)).alias(value))
     elif method == "word_bag":  # once per row rather than once per pair
-        d = df.select(pos, char_counts(F.col(value)).alias(value))
-    measure = (lambda a, b: l1(a, b).cast("double")) if method == "word_bag" else DISTANCES[method]
+        d = df.select(pos, F.explode(F.array(char_bag(F.col(value)))).alias(value))
+    measure = bag_l1 if method == "word_bag" else DISTANCES[method]
     out = neighbours(d, w, value, pos).select("i", "p", measure(F.col("a"), F.col("b")).alias("d"))
     return out if within is None else out.where(F.col("d") <= within)
 

@@ -52,14 +52,14 @@ EVENT = {
 }
 
 
-def at_path(record: Column, path: str, kind: str, default: object = None) -> Column:
+def at_path(record: Column, path: str, kind: str, default: object = None, root: str = "$") -> Column:
     """A nested value; the default where a key is missing or something on the way is no object. A null stays null.
 
     [*] takes a path of every element of an array, and inner arrays are comma-joined.
     """
     head, each, rest = path.partition("[*].")
     steps = [UUID if s == "U" else f'["{s}"]' for s in head.split(".")]
-    whole = "$" + "".join(steps)
+    whole = root + "".join(steps)
     if kind.startswith("array"):
         items = F.try_variant_get(record, whole, "array<variant>")
         if each:
@@ -76,27 +76,41 @@ def at_path(record: Column, path: str, kind: str, default: object = None) -> Col
 
 
 def record_lines(lines: DataFrame, strict: bool = False) -> DataFrame:
-    """(type, record variant) of JSON lines {"datum": {"<prefix><type>": {...}}}. Broken lines are left out, or raise if strict."""
+    """(type, record variant) of JSON lines {"datum": {"<prefix><type>": {...}}}. Broken lines are left out, or raise if strict.
+
+    The type is read off the line, so that a filter on it comes before parsing.
+    """
+    kind = F.regexp_extract("value", r'"datum"\s*:\s*\{\s*"' + TYPE_PREFIX.replace(".", r"\.") + r'(\w+)"', 1)
+    d = lines.select(kind.alias("type"), "value")
     parse = F.parse_json if strict else F.try_parse_json
-    d = lines.where("length(trim(value)) > 0").select(parse("value").alias("v")).where("v IS NOT NULL")
-    key = F.expr("json_object_keys(to_json(variant_get(v, '$.datum', 'variant')))[0]")
-    d = d.select("v", key.alias("key")).where(F.startswith("key", F.lit(TYPE_PREFIX)))
-    return d.select(F.substr("key", F.lit(len(TYPE_PREFIX) + 1)).alias("type"), F.try_element_at(F.try_variant_get("v", "$.datum", "map<string,variant>"), F.col("key")).alias("record"))
+    return d.where("type <> ''").select("type", parse("value").alias("record"))
+
+
+def _root(kind: str) -> str:
+    return f'$["datum"]["{TYPE_PREFIX}{kind}"]'
 
 
 def vertices(records: DataFrame) -> DataFrame:
-    """All known vertex types' records in one table, the union of their columns; other types give no row."""
-    out = None
+    """All known vertex types' records in one table, the union of their columns; other types give no row.
+
+    One pass: a column is taken from the path that its row's type has for it.
+    """
+    by_column: dict[str, list[tuple[str, tuple[str, str, object]]]] = {}
     for kind, columns in RECORDS.items():
-        d = records.where(F.col("type") == kind).select(F.lit(kind).alias("type"), *[at_path(F.col("record"), *spec).alias(c) for c, spec in columns.items()])
-        d = d.select(*[F.col(c).cast("string").alias(c) if c == "permission" else c for c in d.columns])
-        out = d if out is None else out.unionByName(d, allowMissingColumns=True)
-    return out
+        for c, spec in columns.items():
+            by_column.setdefault(c, []).append((kind, spec))
+    out = [F.col("type")]
+    for c, found in by_column.items():
+        value = F.lit(None).cast(found[0][1][1])
+        for kind, spec in found:
+            value = F.when(F.col("type") == kind, at_path(F.col("record"), *spec, root=_root(kind))).otherwise(value)
+        out.append(value.alias(c))
+    return records.where(F.col("type").isin(*RECORDS) & F.col("record").isNotNull()).select(*out)
 
 
 def event_edges(records: DataFrame) -> DataFrame:
     """One edge per event, and a second to its second object if there is one."""
-    d = records.where("type = 'Event'").select(*[at_path(F.col("record"), *spec).alias(c) for c, spec in EVENT.items()])
+    d = records.where("type = 'Event' AND record IS NOT NULL").select(*[at_path(F.col("record"), *spec, root=_root("Event")).alias(c) for c, spec in EVENT.items()])
     ends = F.concat(F.array("predicate_id"), F.filter(F.array("predicate_id2"), lambda x: x != ""))
     columns = [c for c in EVENT if c not in ("predicate_id", "predicate_id2")]
     d = d.select(*columns, F.posexplode(ends).alias("_k", "predicate_id"))
