@@ -11,6 +11,8 @@ from .common import written
 WINDOW, SHARE = 5, 0.5
 #: Benchmark windows up to which they are broadcast (some 40 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Marks of the private-use area for words that are names or numbers; texts' own are read as spaces.
+NAME, NUMBER = "\uE000", "\uE001"
 #: Units of measure and number words.
 UNITS = (
     "%,€,$,£,mm,cm,m,km,mi,mile,miles,inch,inches,foot,feet,ft,yd,yards,mg,g,kg,gram,grams,kilogram,kilograms,lb,lbs,pound,pounds,oz,ounces,ml,l,liter,liters,litre,litres,"
@@ -25,26 +27,29 @@ def _list(words) -> str:
 
 
 def with_template(df: DataFrame, text: Column, keep: list[str]) -> DataFrame:
-    """keep, with arrays _gl_t (template words) and _gl_s (a placeholder's own value, else null).
+    """keep, with arrays _gl_t (template words) and _gl_s (a placeholder's own value, else null; null if there is none).
 
-    Words are runs of letters, digits and signs of units, in lower case. A number or number word becomes
-    <num>; a unit after a number <unit>; a capitalised word <name>, unless a sentence starts with it or
-    it is all in capitals. Marks from the private-use area carry these kinds through one split.
+    Words are runs of letters, digits and signs of units, in lower case, points and the like only inside
+    them. A number or number word becomes <num>; a unit after a number <unit>; a capitalised word <name>,
+    unless a sentence starts with it or it is all in capitals. Two marks from the private-use area carry
+    names and numbers through the split.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[]", " ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", "$1")
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}])(\p{N}+)(?:[.,:/](\p{N}+))*", "$0 ")
-    # a number keeps its inner points: split only at what isn't between digits
-    d = df.select(*keep, F.split(F.lower(t), r"(?<!\p{N})[^\p{L}\p{N}\x{E000}\x{E001}%€$£]+|(?<=\p{N})(?![.,:/]\p{N})[^\p{L}\p{N}\x{E000}\x{E001}%€$£]+|(?=[%€$£\x{E001}])|(?<=[%€$£])").alias("_gl_w"))
-    d = d.selectExpr(*keep, "filter(_gl_w, w -> w <> '' AND w <> '') AS _gl_w")
-    number = f"(startswith(w, '') OR w IN ({_list(NUMBERS)}))"
+    t = F.coalesce(text, F.lit(""))
+    for mark in (NAME, NUMBER):
+        t = F.replace(t, F.lit(mark), F.lit(" "))
+    t = F.regexp_replace(t, r"(?=\p{Lu})(?<=[\p{L}\p{N},;)] )(\p{Lu}\p{Ll}+)(?![\p{L}\p{N}])", f"{NAME}$1")
+    t = F.regexp_replace(t, r"(?=\p{N})(?<![\p{L}\p{N}])\p{N}+(?:[.,:/]\p{N}+)*", f" {NUMBER}$0 ")
+    d = df.select(*keep, F.split(F.lower(t), r"[^\p{L}\p{N}\x{E000}\x{E001}%€$£.,:/]+").alias("_gl_w"))
+    d = d.selectExpr(*keep, "filter(transform(_gl_w, w -> trim(BOTH '.,:/' FROM w)), w -> w <> '') AS _gl_w")
+    number = f"(startswith({{0}}, '{NUMBER}') OR {{0}} IN ({_list(NUMBERS)}))"
     d = d.selectExpr(
         *keep,
         "_gl_w",
-        f"transform(_gl_w, (w, i) -> CASE WHEN {number} THEN '<num>' WHEN startswith(w, '') THEN '<name>' WHEN w IN ({_list(UNITS)}) AND i > 0"
-        f" AND {number.replace('(w', '(get(_gl_w, i - 1)').replace(' w IN', ' get(_gl_w, i - 1) IN')} THEN '<unit>' ELSE w END) AS _gl_t",
+        f"transform(_gl_w, (w, i) -> CASE WHEN {number.format('w')} THEN '<num>' WHEN startswith(w, '{NAME}') THEN '<name>' WHEN w IN ({_list(UNITS)}) AND i > 0"
+        f" AND {number.format('get(_gl_w, i - 1)')} THEN '<unit>' ELSE w END) AS _gl_t",
     )
-    return d.selectExpr(*keep, "_gl_t", "zip_with(_gl_w, _gl_t, (w, t) -> if(startswith(t, '<'), ltrim('', w), null)) AS _gl_s")
+    slots = f"zip_with(_gl_w, _gl_t, (w, t) -> if(t IN ('<num>', '<name>', '<unit>'), ltrim('{NAME}{NUMBER}', w), null))"
+    return d.selectExpr(*keep, "_gl_t", f"if(arrays_overlap(_gl_t, array('<num>', '<name>', '<unit>')), {slots}, null) AS _gl_s")
 
 
 def windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
@@ -52,13 +57,11 @@ def windows(df: DataFrame, keep: list[str], size: int) -> DataFrame:
 
     Windows of placeholders alone say nothing and are left out. slots: the placeholders' values in order.
     """
-    d = df.selectExpr(
-        *keep,
-        f"""transform(sequence(0, greatest(size(_gl_t) - {size}, 0)), i -> struct(i AS place, xxhash64(slice(_gl_t, i + 1, {size})) AS hash,
-            if(exists(slice(_gl_s, i + 1, {size}), s -> s IS NOT NULL), array_compact(slice(_gl_s, i + 1, {size})), array()) AS slots,
-            exists(slice(_gl_s, i + 1, {size}), s -> s IS NULL) AS literal)) AS _gl_x""",
-    )
-    d = d.selectExpr(*keep, "inline(filter(_gl_x, x -> x.literal))")
+    d = df.selectExpr(*keep, "transform(_gl_t, t -> xxhash64(t)) AS _gl_h", "_gl_s")
+    at = f"transform(sequence(0, greatest(size(_gl_h) - {size}, 0)), i -> struct(i AS place, xxhash64(slice(_gl_h, i + 1, {size})) AS hash, {{}} AS slots))"
+    own = f"slice(_gl_s, i + 1, {size})"
+    some = f"filter({at.format(f'if(exists({own}, s -> s IS NULL), array_compact({own}), null)')}, x -> x.slots IS NOT NULL)"
+    d = d.selectExpr(*keep, f"inline(if(_gl_s IS NULL, {at.format('CAST(array() AS array<string>)')}, {some}))")
     return d.select(*keep, "place", "hash", "slots")
 
 

@@ -47,6 +47,10 @@ PURPOSES = {
 PURPOSE = {w: k for k, words in PURPOSES.items() for w in words.split()}
 
 
+#: What elements are for by themselves.
+MEANING = {"nav": "nav", "menu": "nav", "header": "head", "head": "head", "footer": "foot", "aside": "side", "form": "form", "dialog": "notice", "article": "content", "main": "content"}
+
+
 @dataclass
 class Leaf:
     """Text between two block boundaries: decoded, one space for white space; its elements from the root."""
@@ -142,19 +146,19 @@ def leaves(page: str) -> list[Leaf]:
 def features(blocks: list[Leaf]) -> list[list[str]]:
     """Per block: its ancestors' tags, their purposes, and what its text is like."""
     rows = []
-    n = len(blocks)
-    for i, b in enumerate(blocks):
+    for b in blocks:
         tags = [t for t, _ in b.path if t in BLOCK or t == "a"]
         purposes = set().union(*[p for _, p in b.path]) if b.path else set()
         words = b.text.split()
-        row = ["bias", *{f"in {t}" for t in tags}, *{f"for {p}" for p in purposes}, f"tag {tags[-1] if tags else ''}"]
+        # the innermost element that says what it is for
+        inner = next((found for t, p in reversed(b.path) if (found := {*p, MEANING.get(t, "")} - {""})), {"nothing"})
+        row = ["bias", "inside " + min(inner - {"content"} or inner), *{f"in {t}" for t in tags}, *{f"for {p}" for p in purposes}, f"tag {tags[-1] if tags else ''}"]
         share = b.linked / max(1, len(b.text))
         row.append("links " + ("none" if not b.linked else "some" if share < 0.5 else "most"))
         row.append(f"words {min(6, len(words).bit_length())}")
         row.append("stop" if b.text[-1] in ".!?:;\"'”’…)" else "open")
         if re.search("©|copyright|all rights reserved|cookie", b.text, re.I):
             row.append("says legal")
-        row.append("place " + ("first" if i == 0 else "last" if i == n - 1 else "mid"))
         rows.append(row)
     return rows
 
@@ -163,7 +167,7 @@ def features(blocks: list[Leaf]) -> list[list[str]]:
 
 _SYLLABLES = "an ba co de er fi go ha in jo ka lu me no on pa qui ra si te un ver wo ya zu é ß ñ".split()
 #: Pages that the model learns from, and passes of its optimiser.
-LABELLED_PAGES, PASSES = 360, 160
+LABELLED_PAGES, PASSES = 420, 240
 
 
 def labelled_pages(n: int = LABELLED_PAGES, seed: int = 7) -> list[tuple[str, list[bool]]]:
@@ -193,7 +197,7 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 7) -> list[tuple[str, li
 
         def leaf(a: int, b: int, stop: bool = False) -> str:
             labels.append(keep[-1])  # noqa: B023
-            return words(a, b) + "." * stop
+            return words(a, b) + "." * (stop and r.random() < 0.75)
 
         def boiler(make) -> str:
             keep.append(False)  # noqa: B023
@@ -255,6 +259,10 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 7) -> list[tuple[str, li
                 s += around("foot")
             return s
 
+        if r.random() < 0.12:  # a fragment
+            keep.append(True)
+            pages.append((f"<article>{article()}</article>", labels))
+            continue
         s = "<!DOCTYPE html><html><head>"
         if r.random() < 0.9:
             s += boiler(lambda: f"<title>{leaf(1, 12)}</title>")
