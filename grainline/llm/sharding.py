@@ -30,8 +30,9 @@ def _numbered(df: DataFrame, part: list[str], bucket: str, order: list[Column],
 def interleave(df: DataFrame, n_shards: int = 16, stratum: str = "source", key: str = "doc_id", seed: int = 42) -> DataFrame:
     """All rows of df with `shard` (int, from 0) and `slot` (long, gapless from 0 in its shard).
 
-    Rows are shuffled by a seeded hash of their key within their stratum; the k-th of n gets the
-    fractional rank (k + 1/2) / n. Sorted by that rank, every stretch holds the strata in proportion,
+    Rows are shuffled by a seeded hash of their key within their stratum; the k-th of n, from 0, gets the
+    fractional rank (k + p) / n, p between 0 and 1 the stratum's own, so that strata of one size don't
+    stand in step. Sorted by that rank, every stretch holds the strata in proportion,
     and cutting it into n_shards equal parts gives shards with the mixture of the whole table, with
     counts that differ by one at most. Both orders are numbered by buckets, so a stratum that holds a
     third of all rows is still spread over many tasks.
@@ -50,7 +51,8 @@ def interleave(df: DataFrame, n_shards: int = 16, stratum: str = "source", key:
     ties = [F.col(c) for c, kind in df.dtypes if c in columns and not kind.startswith(("map", "variant"))]
     d = d.withColumn("_gl_group", F.pmod("_gl_hash", F.lit(groups)))
     d = _numbered(d, ["_gl_stratum"], "_gl_group", [F.col("_gl_hash"), F.col(key), *ties], "_gl_rank")
-    d = d.withColumn("_gl_share", (F.col("_gl_rank") + 0.5) / F.col("_gl_total")).drop("_gl_group", "_gl_total")
+    phase = (F.pmod(F.xxhash64(F.lit(seed), "_gl_stratum"), F.lit(1_000_000)) + 0.5) / 1_000_000
+    d = d.withColumn("_gl_share", (F.col("_gl_rank") + phase) / F.col("_gl_total")).drop("_gl_group", "_gl_total")
     d = d.withColumn("_gl_group", F.floor(F.col("_gl_share") * groups)).withColumn("_gl_all", F.lit(0))
     d = _numbered(d, ["_gl_all"], "_gl_group", [F.col("_gl_share"), F.col("_gl_stratum"), F.col("_gl_rank")], "_gl_place")
     return (
