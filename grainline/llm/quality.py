@@ -134,4 +134,25 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
 def op3_quality_cascade(spark, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return judged(d).select("doc_id", *BASE, "base_failed", "kept", "failed_rule")
+    return judged(d).select("doc_id", *BASE, "base_failed", "kept")
+
+#: The same rows in DuckDB.
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM i),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM g, (VALUES (0), (1), (2)) AS o(k) WHERE n > 1 GROUP BY doc_id),
+c AS (
+  SELECT doc_id, t, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (doc_id)
+),
+b AS (SELECT *, len(l) - len(list_distinct(l)) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (
+    n_symbols > 0.1 * n_words OR 2 * n_dup_lines > len(regexp_split_to_array(trim(t, ' '), '\n+')) OR word_chars > 15 * n_words OR word_chars < 2 * n_words
+    OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words OR length(regexp_replace(t, '\P{Lu}+', '', 'g')) > 0.3 * word_chars OR length(regexp_replace(t, '\P{L}+', '', 'g')) < 0.4 * word_chars
+  ) AS kept
+FROM b
+"""

@@ -9,10 +9,12 @@ from .html_text import op9_crf_blocks
 from .licenses import op5_rare_word_index
 from .lm import op10_backoff_automaton
 from .packing import op4_best_fit_decreasing
+from .quality import SQL as QUALITY_SQL
 from .quality import op3_quality_cascade
 from .sharding import op8_stratified_interleave
 from .simhash import op6_vantage_point_trees
 from .token_files import op7_bit_packed_ids
+from .urls import SQL as URL_SQL
 from .urls import op1_redirect_equivalence
 
 QUERIES = {
@@ -29,4 +31,4 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_redirect_equivalence": URL_SQL, "op3_quality_cascade": QUALITY_SQL}

@@ -122,3 +122,42 @@ def op1_redirect_equivalence(spark, sf_dir: str) -> DataFrame:
     """Verdicts of all pages."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return judged(pages.select("page_id", "url"), page_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+#: The same rows in DuckDB: links of both kinds, then components by reachability.
+SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g') AS html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
+),
+h AS (
+  SELECT page_id, url, html, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS tail FROM p
+),
+k AS (SELECT *, CASE WHEN host <> '' THEN host || tail END AS node FROM h),
+t AS (SELECT node, host, path, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM k WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+l AS (
+  SELECT node, host, path, replace(trim(CASE
+    WHEN regexp_matches(tag, '(?is)^<link\b.*\brel\s*=\s*["'']?[^"''>]*\bcanonical\b') THEN trim(regexp_extract(tag, '(?is)\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '"''')
+    WHEN regexp_matches(tag, '(?is)^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)url\s*=\s*[''"]?([^''">]*)', 1) END), '&amp;', '&') AS link FROM t
+),
+a AS (
+  SELECT node, CASE WHEN regexp_matches(link, '(?i)^https?://') THEN substr(link, instr(link, '://') + 3) WHEN link LIKE '//%' THEN substr(link, 3)
+    WHEN link = '' OR link LIKE '#%' OR regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN link LIKE '/%' THEN host || link WHEN link LIKE '?%' THEN host || path || link
+    ELSE host || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || link END AS rest FROM l WHERE link IS NOT NULL
+),
+e AS (
+  SELECT node AS x, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) AS y
+  FROM a WHERE node IS NOT NULL AND regexp_matches(rest, '^[^/?#]')
+),
+b AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+near AS (SELECT x, x AS y FROM b UNION SELECT near.x, b.y FROM near JOIN b ON near.y = b.x),
+n AS (SELECT DISTINCT x AS node, regexp_extract(x, '^[^/?#]*') AS host, regexp_extract(x, '^[^/?#]*([^?#]*)', 1) AS path FROM b),
+o AS (SELECT node, host, path FROM n UNION SELECT node, host, path FROM k WHERE node IS NOT NULL),
+rules AS (
+  SELECT *, split_part(rule, '/', 1) AS own, substr(rule, instr(rule, '/')) AS start
+  FROM (VALUES ('block', 'com/en/'), ('allow', 'example.com/en/7'), ('allow', 'net/de/'), ('block', 'example.net/de/8'), ('block', 'org/es/')) AS v(verdict, rule)
+),
+f AS (SELECT node, arg_max(verdict, length(rule)) AS verdict, arg_max(rule, length(rule)) AS rule FROM o JOIN rules ON (host = own OR suffix(host, '.' || own)) AND starts_with(path, start) GROUP BY node),
+s AS (SELECT near.x AS node FROM near JOIN f ON f.node = near.y GROUP BY near.x HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow'))
+SELECT page_id, k.host, k.path, f.rule, coalesce(f.verdict, CASE WHEN s.node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM k LEFT JOIN f ON f.node = k.node LEFT JOIN s ON s.node = k.node
+"""

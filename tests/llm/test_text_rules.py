@@ -86,6 +86,20 @@ def test_block_spreads_and_allow_wins(spark):
     assert urls.judged(p.drop("html").limit(0), urls.page_edges(p.limit(0))).count() == 0
 
 
+def test_sql_gives_the_same(spark, sf):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", PAGES)
+    p = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    got = urls.judged(p.drop("html"), urls.page_edges(p)).select("page_id", "host", "path", "rule", "verdict").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(urls.SQL).fetchall())
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    names = ["doc_id", *quality.BASE, "base_failed", "kept"]
+    assert sorted(map(tuple, quality.op3_quality_cascade(spark, sf).select(names).collect())) == sorted(con.execute(quality.SQL).fetchall())
+
+
 def test_rules_by_longest(spark):
     rows = ["http://net/de/", "http://sub.example.net/de/88", "http://xnet/de/", "http://example.com/en/6", "http://a.org/es/1"]
     d = spark.createDataFrame([(u,) for u in rows], "url string").select(urls.rule_of(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("r"))
