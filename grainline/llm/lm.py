@@ -22,7 +22,7 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 #: The end token, which no text can hold as a word.
 END = b" end"
 #: Bytes of text of a chunk, and input bytes per part of the n-grams' hash space.
-CHUNK_BYTES, PART_BYTES, MOST_PARTS = 8 << 20, 8 << 20, 2048
+CHUNK_BYTES, PART_BYTES, MOST_PARTS = 8 << 20, 4 << 20, 4096
 #: Share of the bigram estimate in the interpolation with unigrams.
 BIGRAM_SHARE = 0.4
 
@@ -243,7 +243,7 @@ def scored(df: DataFrame, doc: str = "doc_id", text: str = "text", share: float
     small_batches(spark, 8)
     chunks = spark.read.schema(schema).parquet(path)
     sums = written(
-        chunks.where("kind = 'grams'").drop("kind").repartition("part").groupBy("part").applyInPandas(_summed, "chunk bigint, part int, payload binary, total bigint, types bigint"),
+        chunks.where("kind = 'grams'").drop("kind").repartition(parts, "part").groupBy("part").applyInPandas(_summed, "chunk bigint, part int, payload binary, total bigint, types bigint"),
         "lm-sums",
     )
     remove(spark, f"{path}/kind=grams")
