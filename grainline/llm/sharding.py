@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of one window group aimed at, and the most groups that a stratum is dealt into.
-GROUP_ROWS, MOST_GROUPS = 4096, 20_000
+GROUP_ROWS, MOST_GROUPS = 1024, 20_000
 
 
 def _numbered(df: DataFrame, part: list[str], bucket: str, order: list[Column], out: str) -> DataFrame:
