@@ -8,10 +8,6 @@ from __future__ import annotations
 from grainline.llm import decontamination, packing, quality, simhash
 from grainline.llm.common import written
 
-#: Near duplicates: five-word shingles, and 8 of 64 differing bits. At a Jaccard similarity of 0.8 of two
-#: texts' shingles the expected distance of their fingerprints is 9 to 10 bits, of unrelated texts 32.
-SHINGLE, BITS = 5, 8
-
 
 def quality_rules(spark, docs, sf_dir):
     """Drops the documents that the quality rules reject, null and empty texts with them."""
@@ -19,8 +15,8 @@ def quality_rules(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """Keeps one document, that of the smallest doc_id, of each class of near duplicates."""
-    return simhash.deduplicated(docs, BITS, SHINGLE).select(*docs.columns)
+    """Keeps one document, that of the smallest doc_id, of each class of near duplicates: five-word shingles, similarity 0.8."""
+    return simhash.deduplicated(docs).select(*docs.columns)
 
 
 def decontaminate(spark, docs, sf_dir):

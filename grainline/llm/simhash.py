@@ -21,26 +21,24 @@ LEAF = 256
 VANTAGES, SHARD_POINTS = 8, 64
 
 
-def fingerprint(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np.ndarray:
-    """The 64-bit fingerprint of each text: bits set in over half of its shingles' XXH64; 0 without words."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> list[int]:
+    """XXH64 of each shingle of a text in A-Z lower case; the whole sequence is one if it is shorter."""
     from xxhash import xxh64_intdigest
 
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        words = (t or "").encode().translate(_LOWER).split()
-        if not words:
-            continue
-        joined = b" ".join(words)
-        ends = list(itertools.accumulate(len(w) + 1 for w in words))
-        n = max(1, len(words) - shingle + 1)
-        starts = [0, *ends[: n - 1]]
-        hashes += [xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:], strict=True)]
-        counts[i] = n
-    out = np.zeros(len(texts), np.uint64)
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return []
+    joined = b" ".join(words)
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    starts = [0, *ends[: max(1, len(words) - shingle + 1) - 1]]
+    return [xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:], strict=True)]
+
+
+def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The bits set in over half of each text's hashes h, so many a text; 0 where there are none."""
+    out = np.zeros(len(counts), np.uint64)
     own = np.flatnonzero(counts)
     if len(own):
-        h = np.array(hashes, np.uint64)
         at = np.cumsum(counts[own]) - counts[own]
         for bit in range(64):
             on = np.add.reduceat((h >> np.uint64(bit)) & np.uint64(1), at)
@@ -48,6 +46,17 @@ def fingerprint(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np
     return out
 
 
+def fingerprint(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np.ndarray:
+    """The 64-bit fingerprint of each text: bits set in over half of its shingles' XXH64; 0 without words."""
+    hashes: list[int] = []
+    counts = np.zeros(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        own = shingle_hashes(t, shingle, seed)
+        hashes += own
+        counts[i] = len(own)
+    return majority(np.array(hashes, np.uint64), counts)
+
+
 def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row, fp the fingerprint's bits as a signed long, whole texts hashed."""
     small_batches(df.sparkSession)
@@ -166,29 +175,54 @@ class Forest:
                 todo += parts
 
 
-def _links(bits: int):
+class Pairs(Forest):
+    """The pairs of points within `bits` bits, of sets whose sizes allow the similarity.
+
+    Where points have over DENSE such pairs each, a spanning forest of the closest ones is given instead,
+    so that the pairs of a group never grow with its square.
+    """
+
+    DENSE = 4
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, bits: int, similarity: float):
+        self.sizes, self.similarity, self.found = sizes, similarity, []
+        super().__init__(points, bits)
+
+    def link(self, at: np.ndarray) -> None:
+        if len(at) > 1:
+            other = at[self.label[at] != self.label[at[0]]]
+            self.found.append(np.stack([other, np.full(len(other), at[0])], 1))
+            super().link(at)
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        d = np.bitwise_count(self.points[a][:, None] ^ self.points[b][None, :])
+        small, large = np.minimum.outer(self.sizes[a], self.sizes[b]), np.maximum.outer(self.sizes[a], self.sizes[b])
+        near = (d <= self.bits) & (small >= self.similarity * large)
+        i, j = np.nonzero(np.triu(near, 1) if a is b else near & (a[:, None] != b[None, :]))
+        if len(i) > self.DENSE * (len(a) + len(b)):
+            order = np.argsort(d[i, j], kind="stable")
+            i, j = a[i[order]], b[j[order]]
+            while len(i):
+                self.found.append(np.array([[i[0], j[0]]]))
+                Forest.link(self, np.array([i[0], j[0]]))
+                apart = self.label[i] != self.label[j]
+                i, j = i[apart], j[apart]
+        elif len(i):
+            self.found.append(np.stack([a[i], b[j]], 1))
+
+
+def _by_shard(links):
+    """A mapInArrow function over rows sorted by shard: links(table, lo, hi) gives pairs of rows lo to hi, or None."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            shard, rep, fp = (table.column(c).to_numpy() for c in ("shard", "rep", "fp"))
-            cuts = np.flatnonzero(np.diff(shard)) + 1
-            a, b = [], []
-            for lo, hi in itertools.pairwise([0, *cuts.tolist(), len(shard)]):
-                if hi - lo < 2:
-                    continue
-                own = rep[lo:hi]
-                if hi - lo == 2:
-                    near = int(fp[lo] ^ fp[lo + 1]) & (1 << 64) - 1
-                    if near.bit_count() <= bits:
-                        a.append(own[1:]), b.append(own[:1])
-                    continue
-                label = Forest(fp[lo:hi].view(np.uint64), bits).label
-                other = np.flatnonzero(label != np.arange(len(label)))
-                if len(other):
-                    a.append(own[other]), b.append(own[label[other]])
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+            columns = {c: table.column(c).to_numpy() for c in table.column_names}
+            cuts = np.flatnonzero(np.diff(columns["shard"])) + 1
+            found = [columns["rep"][x] for lo, hi in itertools.pairwise([0, *cuts.tolist(), table.num_rows]) if hi - lo > 1 and (x := links(columns, lo, hi)) is not None]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], ["a", "b"])
 
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -204,6 +238,30 @@ def _links(bits: int):
     return run
 
 
+def _links(bits: int):
+    def links(columns, lo: int, hi: int) -> np.ndarray | None:
+        fp = columns["fp"][lo:hi]
+        if hi - lo == 2:
+            return np.array([[lo + 1, lo]]) if (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= bits else None
+        label = Forest(fp.view(np.uint64), bits).label
+        other = np.flatnonzero(label != np.arange(len(label)))
+        return np.stack([other, label[other]], 1) + lo if len(other) else None
+
+    return _by_shard(links)
+
+
+def _pairs(bits: int, similarity: float):
+    def links(columns, lo: int, hi: int) -> np.ndarray | None:
+        fp, n = columns["fp"][lo:hi], columns["n"][lo:hi]
+        if hi - lo == 2:
+            near = (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= bits and min(n) >= similarity * max(n)
+            return np.array([[lo + 1, lo]]) if near else None
+        found = Pairs(fp.view(np.uint64), n, bits, similarity).found
+        return np.concatenate(found) + lo if found else None
+
+    return _by_shard(links)
+
+
 def clusters(prints: DataFrame, bits: int = 4) -> DataFrame:
     """prints (doc_id, fp) with component_id: the smallest doc_id that links of at most `bits` bits reach.
 
@@ -236,8 +294,84 @@ def op6_vantage_point_trees(spark, sf_dir: str) -> DataFrame:
     return clusters(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, bits: int, shingle: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs whose id is its component's own: the smallest id of each class stays."""
-    prints = written(fingerprints(docs, shingle, doc=doc, text=text), "simhash-prints")
-    gone = written(clusters(prints, bits).where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct(), "simhash-gone")
-    return docs.join(gone, doc, "left_anti")
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash made of each hash; the 0-th is the hash itself."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_sets(df: DataFrame, shingle: int, prints: int, seed: int = 42, doc: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, key, n, fps) of every row: a hash of its set of shingles, the set's size, and `prints` fingerprints.
+
+    With `sets`, (doc_id, key, hashes) instead: the set itself, as ascending 64-bit numbers.
+    """
+    small_batches(df.sparkSession)
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                own = [np.unique(np.array(shingle_hashes(t, shingle, seed), np.uint64)) for t in part.column("text").to_pylist()]
+                keys = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64))
+                if sets:
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "key", "hashes"])
+                    continue
+                n, h = np.array([len(x) for x in own], np.int64), np.concatenate(own)
+                fps = np.stack([majority(mixed(h, k), n).view(np.int64) for k in range(prints)], 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array(n), pa.array(list(fps), pa.list_(pa.int64()))], ["doc_id", "key", "n", "fps"])
+
+    rows = df.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, key bigint, hashes binary" if sets else "doc_id bigint, key bigint, n bigint, fps array<bigint>")
+
+
+def _similar(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def deduplicated(
+    docs: DataFrame, bits: int = 8, shingle: int = 5, similarity: float = 0.8, prints: int = 6, doc: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """The rows of docs without near duplicates: of each class, the rows of the smallest id stay.
+
+    Classes are the components of links between texts whose sets of shingles have a Jaccard similarity of
+    at least `similarity`. Pairs within `bits` bits in any of `prints` fingerprints of the sets are found
+    by the vantage-point trees, and each is then measured on the whole sets, so no text goes that no
+    similar one stays for. What fingerprints miss is stated in the README. Equal sets are one point.
+    Texts without words are equal. A row without an id stays; repeated rows stay or go together; an empty
+    table gives an empty one; other columns are kept as they are.
+    """
+    spark = docs.sparkSession
+    whole = written(shingle_sets(docs, shingle, prints, doc=doc, text=text), "simhash-sets")
+    points = written(whole.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fps").alias("fps")), "simhash-points")
+    masks = bands(bits, points.count())
+    keys = F.array(*[F.xxhash64("print", shard_key(F.col("fp"), i, m)) for i, m in enumerate(masks)])
+    rows = points.select(F.col("key").alias("rep"), "n", F.posexplode("fps").alias("print", "fp")).select("rep", "n", "fp", F.explode(keys).alias("shard"))
+    rows = rows.repartition("shard").sortWithinPartitions("shard", "fp")
+    small_batches(spark, 50_000)
+    pairs = rows.mapInArrow(_pairs(bits, similarity), "a bigint, b bigint")
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "simhash-pairs")
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+    some = written(points.join(ends, "key", "left_semi").select("doc_id", "key"), "simhash-ends")
+    texts = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(some.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = written(shingle_sets(texts, shingle, prints, doc="doc_id", text="text", sets=True).join(some, ["doc_id", "key"], "left_semi").select("key", "hashes"), "simhash-hashes")
+    small_batches(spark, 64)
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+    roots = components(both.mapInArrow(_similar(similarity), "a bigint, b bigint"), "simhash-links")
+    kept = points.join(roots, points["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id")
+    kept = kept.select("key", "root").join(kept.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "component_id")
+    gone = whole.join(kept, "key").where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct()
+    return docs.join(written(gone, "simhash-gone"), doc, "left_anti")
