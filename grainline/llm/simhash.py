@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 from collections.abc import Iterator
@@ -21,17 +22,27 @@ LEAF = 256
 VANTAGES, SHARD_POINTS = 8, 64
 
 
-def shingle_hashes(text: str | None, shingle: int, seed: int) -> list[int]:
-    """XXH64 of each shingle of a text in A-Z lower case; the whole sequence is one if it is shorter."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle of a text in A-Z lower case; the whole sequence is one if it is shorter.
+
+    Words are cut from one byte string by numpy places, so that a very long text takes little more than itself.
+    """
     from xxhash import xxh64_intdigest
 
-    words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return []
-    joined = b" ".join(words)
-    ends = list(itertools.accumulate(len(w) + 1 for w in words))
-    starts = [0, *ends[: max(1, len(words) - shingle + 1) - 1]]
-    return [xxh64_intdigest(joined[a : b - 1], seed) for a, b in zip(starts, ends[shingle - 1 :] or ends[-1:], strict=True)]
+    joined = b" ".join((text or "").encode().translate(_LOWER).split())
+    if not joined:
+        return np.empty(0, np.uint64)
+    ends = np.append(np.flatnonzero(np.frombuffer(joined, np.uint8) == 32), len(joined))
+    starts = np.append(0, ends[:-1] + 1)
+    if len(ends) > shingle:
+        starts, ends = starts[: len(ends) - shingle + 1], ends[shingle - 1 :]
+    else:
+        starts, ends = starts[:1], ends[-1:]
+    out = np.empty(len(ends), np.uint64)
+    for at in range(0, len(ends), 1 << 14):
+        a, b = starts[at : at + (1 << 14)].tolist(), ends[at : at + (1 << 14)].tolist()
+        out[at : at + len(a)] = [xxh64_intdigest(joined[x:y], seed) for x, y in zip(a, b, strict=True)]
+    return out
 
 
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -48,13 +59,8 @@ def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def fingerprint(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np.ndarray:
     """The 64-bit fingerprint of each text: bits set in over half of its shingles' XXH64; 0 without words."""
-    hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        own = shingle_hashes(t, shingle, seed)
-        hashes += own
-        counts[i] = len(own)
-    return majority(np.array(hashes, np.uint64), counts)
+    own = [shingle_hashes(t, shingle, seed) for t in texts]
+    return majority(np.concatenate(own) if own else np.empty(0, np.uint64), np.array([len(x) for x in own], np.int64))
 
 
 def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -316,7 +322,7 @@ def shingle_sets(df: DataFrame, shingle: int, prints: int, seed: int = 42, doc:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                own = [np.unique(np.array(shingle_hashes(t, shingle, seed), np.uint64)) for t in part.column("text").to_pylist()]
+                own = [np.unique(shingle_hashes(t, shingle, seed)) for t in part.column("text").to_pylist()]
                 keys = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64))
                 if sets:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "key", "hashes"])
@@ -358,11 +364,15 @@ def deduplicated(
     whole = written(shingle_sets(docs, shingle, prints, doc=doc, text=text), "simhash-sets")
     points = written(whole.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fps").alias("fps")), "simhash-points")
     masks = bands(bits, points.count())
-    keys = F.array(*[F.xxhash64("print", shard_key(F.col("fp"), i, m)) for i, m in enumerate(masks)])
-    rows = points.select(F.col("key").alias("rep"), "n", F.posexplode("fps").alias("print", "fp")).select("rep", "n", "fp", F.explode(keys).alias("shard"))
-    rows = rows.repartition("shard").sortWithinPartitions("shard", "fp")
-    small_batches(spark, 50_000)
-    pairs = rows.mapInArrow(_pairs(bits, similarity), "a bigint, b bigint")
+    keys = F.array(*[shard_key(F.col("fp"), i, m) for i, m in enumerate(masks)])
+    small_batches(spark, 20_000)
+
+    def candidates(k: int) -> DataFrame:
+        # each print has an exchange of its own: tasks are no larger for several prints than for one
+        rows = points.select(F.col("key").alias("rep"), F.col("n").cast("int").alias("n"), F.col("fps")[k].alias("fp")).select("rep", "n", "fp", F.explode(keys).alias("shard"))
+        return rows.repartition("shard").sortWithinPartitions("shard", "fp", "rep").mapInArrow(_pairs(bits, similarity), "a bigint, b bigint")
+
+    pairs = functools.reduce(DataFrame.union, map(candidates, range(prints)))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "simhash-pairs")
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     some = written(points.join(ends, "key", "left_semi").select("doc_id", "key"), "simhash-ends")
