@@ -335,6 +335,25 @@ def shingle_sets(df: DataFrame, shingle: int, prints: int, seed: int = 42, doc:
     return rows.mapInArrow(run, "doc_id bigint, key bigint, hashes binary" if sets else "doc_id bigint, key bigint, n bigint, fps array<bigint>")
 
 
+def _sharded(masks: list[int], seed: int = 42):
+    """A mapInArrow function: every row once for each band, with its shard as in shard_key(), whose distances stand side by side."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = np.array(masks, np.uint64)
+        vantages = np.stack([np.random.default_rng([seed, i]).integers(0, 1 << 64, VANTAGES, dtype=np.uint64) & m for i, m in enumerate(bands)])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = part.column("fp").to_numpy().view(np.uint64)[:, None] & bands
+                shard = np.broadcast_to(np.arange(len(bands)), own.shape)
+                for v in range(VANTAGES):
+                    shard = shard << 6 | np.bitwise_count(own ^ vantages[:, v])
+                rows = pa.Table.from_batches([part]).take(pa.array(np.repeat(np.arange(part.num_rows), len(bands))))
+                yield from rows.append_column("shard", pa.array(shard.reshape(-1).astype(np.int64))).combine_chunks().to_batches()
+
+    return run
+
+
 def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,12 +383,11 @@ def deduplicated(
     whole = written(shingle_sets(docs, shingle, prints, doc=doc, text=text), "simhash-sets")
     points = written(whole.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fps").alias("fps")), "simhash-points")
     masks = bands(bits, points.count())
-    keys = F.array(*[shard_key(F.col("fp"), i, m) for i, m in enumerate(masks)])
-    small_batches(spark, 20_000)
+    small_batches(spark, 5_000)
 
     def candidates(k: int) -> DataFrame:
         # each print has an exchange of its own: tasks are no larger for several prints than for one
-        rows = points.select(F.col("key").alias("rep"), F.col("n").cast("int").alias("n"), F.col("fps")[k].alias("fp")).select("rep", "n", "fp", F.explode(keys).alias("shard"))
+        rows = points.select(F.col("key").alias("rep"), F.col("n").cast("int").alias("n"), F.col("fps")[k].alias("fp")).mapInArrow(_sharded(masks), "rep bigint, n int, fp bigint, shard bigint")
         return rows.repartition("shard").sortWithinPartitions("shard", "fp", "rep").mapInArrow(_pairs(bits, similarity), "a bigint, b bigint")
 
     pairs = functools.reduce(DataFrame.union, map(candidates, range(prints)))
