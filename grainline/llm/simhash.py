@@ -20,6 +20,8 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 LEAF = 256
 #: Vantage points that deal a band's fingerprints out to shards, and the shard size aimed at.
 VANTAGES, SHARD_POINTS = 8, 64
+#: The same where pairs are wanted: comparing a point with half of 2,048 others takes about as long as shuffling one row more.
+PAIR_SHARD_POINTS = 2048
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -77,14 +79,14 @@ def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, doc: str = "do
     return df.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def bands(bits: int, points: int) -> list[int]:
+def bands(bits: int, points: int, shard: int = SHARD_POINTS) -> list[int]:
     """Masks of bands of which a pair within `bits` bits has no differing bit in at least one.
 
     64 bits are cut into blocks; a pair differs in at most `bits` of them, so it agrees on one choice of
     the others. The fewest blocks are taken with which a band has bits enough for shards of about
-    SHARD_POINTS of so many points.
+    `shard` of so many points.
     """
-    need = min(40.0, math.log2(max(2, points) / SHARD_POINTS)) if points > SHARD_POINTS else 1.0
+    need = min(40.0, math.log2(max(2, points) / shard)) if points > shard else 1.0
     blocks = bits + 1
     while blocks < 64 and (blocks - bits) * (64 // blocks) < need and math.comb(blocks + 1, bits) <= 5000:
         blocks += 1
@@ -202,9 +204,10 @@ class Pairs(Forest):
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
         d = np.bitwise_count(self.points[a][:, None] ^ self.points[b][None, :])
-        small, large = np.minimum.outer(self.sizes[a], self.sizes[b]), np.maximum.outer(self.sizes[a], self.sizes[b])
-        near = (d <= self.bits) & (small >= self.similarity * large)
-        i, j = np.nonzero(np.triu(near, 1) if a is b else near & (a[:, None] != b[None, :]))
+        i, j = np.divmod(np.flatnonzero(d <= self.bits), len(b))
+        n, m = self.sizes[a[i]], self.sizes[b[j]]
+        fit = (np.minimum(n, m) >= self.similarity * np.maximum(n, m)) & ((i < j) if a is b else (a[i] != b[j]))
+        i, j = i[fit], j[fit]
         if len(i) > self.DENSE * (len(a) + len(b)):
             order = np.argsort(d[i, j], kind="stable")
             i, j = a[i[order]], b[j[order]]
@@ -382,7 +385,7 @@ def deduplicated(
     spark = docs.sparkSession
     whole = written(shingle_sets(docs, shingle, prints, doc=doc, text=text), "simhash-sets")
     points = written(whole.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fps").alias("fps")), "simhash-points")
-    masks = bands(bits, points.count())
+    masks = bands(bits, points.count(), PAIR_SHARD_POINTS)
     small_batches(spark, 5_000)
 
     def candidates(k: int) -> DataFrame:
