@@ -31,7 +31,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], np.uint32)
-        for table in blocks(batches, "text"):
+        for table in blocks(batches, "text", 4 << 20):
             rows = []
             for d, x in zip(column(table, "doc").to_pylist(), encoder.encode(column(table, "text")), strict=True):
                 x = np.concatenate([x, end]).astype("<u4")
