@@ -37,7 +37,7 @@ class Sets:
 def _counts(lines: list[str]) -> np.ndarray:
     out = np.zeros((len(lines), 256), np.int32)
     for k, line in enumerate(lines):
-        codes = np.clip(np.fromiter(map(ord, line), np.int64, len(line)) - 32, 0, 255)
+        codes = np.clip(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - 32, 0, 255)
         out[k] = np.bincount(codes, minlength=256)
     return out
 
@@ -117,7 +117,7 @@ def encoded(lines: DataFrame, parents: Callable[[pd.DataFrame], list[int]], chun
         rows = rows.sort_values("pos").reset_index(drop=True)
         text, pos = rows["line"].fillna("").tolist(), rows["pos"].tolist()
         up = parents(rows)
-        data = [editscript.encode(editscript.script("" if p == k else text[p], text[k])) for k, p in enumerate(up)]
+        data = [editscript.encode(editscript.near_script("" if p == k else text[p], text[k])) for k, p in enumerate(up)]
         return pd.DataFrame({"chunk": rows["chunk"], "child": pos, "parent": [None if p == k else pos[p] for k, p in enumerate(up)], "payload": data}).astype({"parent": "Int64"})
 
     d = lines.withColumn("chunk", F.expr(f"pos DIV {chunk_rows}"))

@@ -204,6 +204,13 @@ def text_tree_roundtrip(spark, sf):
     return trees.decoded(trees.attribute_tree(d, "word_bag", 4))
 
 
+@query("SELECT doc_id AS pos, coalesce(text, '') AS line FROM documents")
+def text_tree_whole(spark, sf):
+    """The whole text of every document through the text tree; text_tree_roundtrip, like its SQL, takes texts under 500 characters."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("line"))
+    return trees.decoded(trees.attribute_tree(d, "word_bag", 4, chunk_rows=256))
+
+
 @query("SELECT count(*) AS rows, count(*) AS children, CAST(0 AS BIGINT) AS far FROM part")
 def attr_tree_invariants(spark, sf):
     t = trees.attribute_tree(_lines(spark, sf), "word_bag", 4)
