@@ -30,3 +30,19 @@ def test_text_tree_takes_every_document(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.pos: r.line for r in catalog.QUERIES["text_tree_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: t or "" for i, t in rows}
+
+
+@pytest.mark.parametrize("name, kinds", [("store_backward_whole", {"C", "O"}), ("store_forward_whole", {"O", "P"})])
+def test_store_holds_every_edge(spark, sf, name, kinds, monkeypatch):
+    from grainline.plans import store
+
+    sizes, encode = [], store.encode
+    monkeypatch.setattr(store, "encode", lambda e, *a, **k: sizes.append(e.count()) or encode(e, *a, **k))
+    rows = catalog.QUERIES[name](spark, sf).collect()
+    assert sizes == [sum(spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "lineitem"))]
+    if "eid" in rows[0]:
+        from grainline.plans.base import edges
+
+        assert {r.src[0] for r in edges(spark, sf).where(f"eid IN ({', '.join(str(r.eid) for r in rows)})").collect()} == kinds
+    else:
+        assert {r.key[0] for r in rows} == kinds and all((r.p_name is not None) == (r.key[0] == "P") for r in rows)
