@@ -125,7 +125,8 @@ class Forest:
 
     def __init__(self, points: np.ndarray, bits: int):
         self.points, self.bits, self.label = points, bits, np.arange(len(points))
-        self.within(np.arange(len(points)))
+        for a, b in self.within(np.arange(len(points))):
+            self.compare(a, b)
 
     def link(self, at: np.ndarray) -> None:
         found = np.unique(self.label[at])
@@ -145,30 +146,31 @@ class Forest:
         self.link(close)
         return d, int(np.median(d))
 
-    def within(self, at: np.ndarray) -> None:
+    def within(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Blocks of points to compare, which hold every pair within reach."""
         todo = [at]
         while todo:
             at = todo.pop()
             if len(at) <= LEAF:
-                self.compare(at, at)
+                yield at, at
                 continue
             d, m = self.split(at)
             low, high = at[d <= m], at[d > m]
             if not len(high) or not len(low):
                 for i in range(0, len(at), LEAF):
-                    self.across(at[i : i + LEAF], at[i:])
+                    yield from self.across(at[i : i + LEAF], at[i:])
                 continue
             todo += [low, high]
-            self.across(at[(d <= m) & (d > m - self.bits)], at[(d > m) & (d <= m + self.bits)])
+            yield from self.across(at[(d <= m) & (d > m - self.bits)], at[(d > m) & (d <= m + self.bits)])
 
-    def across(self, a: np.ndarray, b: np.ndarray) -> None:
+    def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         todo = [(a, b)]
         while todo:
             a, b = todo.pop()
             if not len(a) or not len(b):
                 continue
             if len(a) * len(b) <= LEAF * LEAF:
-                self.compare(a, b)
+                yield a, b
                 continue
             if len(a) > len(b):
                 a, b = b, a
@@ -187,7 +189,8 @@ class Pairs(Forest):
     """The pairs of points within `bits` bits, of sets whose sizes allow the similarity.
 
     Where points have over DENSE such pairs each, a spanning forest of the closest ones is given instead,
-    so that the pairs of a group never grow with its square.
+    so that the pairs of a group that is one class never grow with its square. The ends of pairs left out
+    are given as pairs with themselves; Apart has those pairs once the forest is measured.
     """
 
     DENSE = 4
@@ -202,15 +205,20 @@ class Pairs(Forest):
             self.found.append(np.stack([other, np.full(len(other), at[0])], 1))
             super().link(at)
 
-    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         d = np.bitwise_count(self.points[a][:, None] ^ self.points[b][None, :])
         i, j = np.divmod(np.flatnonzero(d <= self.bits), len(b))
         n, m = self.sizes[a[i]], self.sizes[b[j]]
         fit = (np.minimum(n, m) >= self.similarity * np.maximum(n, m)) & ((i < j) if a is b else (a[i] != b[j]))
-        i, j = i[fit], j[fit]
+        return d, i[fit], j[fit]
+
+    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        d, i, j = self.near(a, b)
         if len(i) > self.DENSE * (len(a) + len(b)):
             order = np.argsort(d[i, j], kind="stable")
             i, j = a[i[order]], b[j[order]]
+            ends = np.unique(np.concatenate([i, j]))
+            self.found.append(np.stack([ends, ends], 1))
             while len(i):
                 self.found.append(np.array([[i[0], j[0]]]))
                 Forest.link(self, np.array([i[0], j[0]]))
@@ -220,8 +228,26 @@ class Pairs(Forest):
             self.found.append(np.stack([a[i], b[j]], 1))
 
 
+class Apart(Pairs):
+    """All pairs of points within `bits` bits whose sizes allow the similarity and whose classes differ."""
+
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, bits: int, similarity: float):
+        self.points, self.sizes, self.classes, self.bits, self.similarity = points, sizes, classes, bits, similarity
+
+    def link(self, at: np.ndarray) -> None:
+        """Nothing is linked before it is measured."""
+
+    def found(self) -> Iterator[np.ndarray]:
+        for a, b in self.within(np.arange(len(self.points))):
+            c, e = self.classes[a], self.classes[b]
+            if (c != e[0]).any() or (e != e[0]).any():
+                _, i, j = self.near(a, b)
+                apart = c[i] != e[j]
+                yield np.stack([a[i[apart]], b[j[apart]]], 1)
+
+
 def _by_shard(links):
-    """A mapInArrow function over rows sorted by shard: links(table, lo, hi) gives pairs of rows lo to hi, or None."""
+    """A mapInArrow function over rows sorted by shard: links(table, lo, hi) gives arrays of pairs of rows lo to hi."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -229,8 +255,15 @@ def _by_shard(links):
         def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
             columns = {c: table.column(c).to_numpy() for c in table.column_names}
             cuts = np.flatnonzero(np.diff(columns["shard"])) + 1
-            found = [columns["rep"][x] for lo, hi in itertools.pairwise([0, *cuts.tolist(), table.num_rows]) if hi - lo > 1 and (x := links(columns, lo, hi)) is not None]
-            if found:
+            found, n = [], 0
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), table.num_rows]):
+                for x in links(columns, lo, hi) if hi - lo > 1 else ():
+                    found.append(columns["rep"][x])
+                    n += len(x)
+                    if n >= 1 << 18:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], ["a", "b"])
+                        found, n = [], 0
+            if n:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], ["a", "b"])
 
         for batch in batches:
@@ -248,25 +281,32 @@ def _by_shard(links):
 
 
 def _links(bits: int):
-    def links(columns, lo: int, hi: int) -> np.ndarray | None:
+    def links(columns, lo: int, hi: int) -> list[np.ndarray]:
         fp = columns["fp"][lo:hi]
         if hi - lo == 2:
-            return np.array([[lo + 1, lo]]) if (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= bits else None
+            return [np.array([[lo + 1, lo]])] if (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= bits else []
         label = Forest(fp.view(np.uint64), bits).label
         other = np.flatnonzero(label != np.arange(len(label)))
-        return np.stack([other, label[other]], 1) + lo if len(other) else None
+        return [np.stack([other, label[other]], 1) + lo]
 
     return _by_shard(links)
 
 
 def _pairs(bits: int, similarity: float):
-    def links(columns, lo: int, hi: int) -> np.ndarray | None:
+    def links(columns, lo: int, hi: int) -> list[np.ndarray]:
         fp, n = columns["fp"][lo:hi], columns["n"][lo:hi]
         if hi - lo == 2:
             near = (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= bits and min(n) >= similarity * max(n)
-            return np.array([[lo + 1, lo]]) if near else None
-        found = Pairs(fp.view(np.uint64), n, bits, similarity).found
-        return np.concatenate(found) + lo if found else None
+            return [np.array([[lo + 1, lo]])] if near else []
+        return [x + lo for x in Pairs(fp.view(np.uint64), n, bits, similarity).found]
+
+    return _by_shard(links)
+
+
+def _apart(bits: int, similarity: float):
+    def links(columns, lo: int, hi: int) -> Iterator[np.ndarray]:
+        fp, n, c = (columns[x][lo:hi] for x in ("fp", "n", "c"))
+        return (x + lo for x in Apart(fp.view(np.uint64), n, c, bits, similarity).found())
 
     return _by_shard(links)
 
@@ -378,7 +418,8 @@ def deduplicated(
     Classes are the components of links between texts whose sets of shingles have a Jaccard similarity of
     at least `similarity`. Pairs within `bits` bits in any of `prints` fingerprints of the sets are found
     by the vantage-point trees, and each is then measured on the whole sets, so no text goes that no
-    similar one stays for. What fingerprints miss is stated in the README. Equal sets are one point.
+    similar one stays for. Of dense groups a spanning forest is measured first, then every pair whose ends
+    that left in different classes. What fingerprints miss is stated in the README. Equal sets are one point.
     Texts without words are equal. A row without an id stays; repeated rows stay or go together; an empty
     table gives an empty one; other columns are kept as they are.
     """
@@ -388,20 +429,39 @@ def deduplicated(
     masks = bands(bits, points.count(), PAIR_SHARD_POINTS)
     small_batches(spark, 5_000)
 
-    def candidates(k: int) -> DataFrame:
-        # each print has an exchange of its own: tasks are no larger for several prints than for one
-        rows = points.select(F.col("key").alias("rep"), F.col("n").cast("int").alias("n"), F.col("fps")[k].alias("fp")).mapInArrow(_sharded(masks), "rep bigint, n int, fp bigint, shard bigint")
-        return rows.repartition("shard").sortWithinPartitions("shard", "fp", "rep").mapInArrow(_pairs(bits, similarity), "a bigint, b bigint")
+    def candidates(points: DataFrame, links, name: str) -> DataFrame:
+        extra = [c for c in points.columns if c == "c"]
+
+        def of(k: int) -> DataFrame:
+            # each print has an exchange of its own: tasks are no larger for several prints than for one
+            rows = points.select(F.col("key").alias("rep"), F.col("n").cast("int").alias("n"), *extra, F.col("fps")[k].alias("fp"))
+            rows = rows.mapInArrow(_sharded(masks), "rep bigint, n int, " + "c bigint, " * len(extra) + "fp bigint, shard bigint")
+            return rows.repartition("shard").sortWithinPartitions("shard", "fp", "rep").mapInArrow(links, "a bigint, b bigint")
 
-    pairs = functools.reduce(DataFrame.union, map(candidates, range(prints)))
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "simhash-pairs")
+        found = functools.reduce(DataFrame.union, map(of, range(prints)))
+        return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
+
+    found = candidates(points, _pairs(bits, similarity), "simhash-pairs")
+    pairs, dense = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("key"))
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     some = written(points.join(ends, "key", "left_semi").select("doc_id", "key"), "simhash-ends")
     texts = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(some.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = written(shingle_sets(texts, shingle, prints, doc="doc_id", text="text", sets=True).join(some, ["doc_id", "key"], "left_semi").select("key", "hashes"), "simhash-hashes")
     small_batches(spark, 64)
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-    roots = components(both.mapInArrow(_similar(similarity), "a bigint, b bigint"), "simhash-links")
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
+        return written(both.mapInArrow(_similar(similarity), "a bigint, b bigint"), "simhash-similar")
+
+    links = measured(pairs)
+    roots = components(links, "simhash-links")
+    if not dense.isEmpty():
+        # pairs that the forests left out: only those whose ends the measured links don't join are left to measure
+        small_batches(spark, 5_000)
+        left = points.join(dense, "key", "left_semi").join(roots, points["key"] == roots["node"], "left").select("key", "n", "fps", F.coalesce("root", "key").alias("c"))
+        rest = candidates(written(left, "simhash-dense"), _apart(bits, similarity), "simhash-rest").join(pairs, ["a", "b"], "left_anti")
+        small_batches(spark, 64)
+        roots = components(links.union(measured(rest)), "simhash-links")
     kept = points.join(roots, points["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id")
     kept = kept.select("key", "root").join(kept.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "component_id")
     gone = whole.join(kept, "key").where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct()

@@ -46,3 +46,37 @@ def test_store_holds_every_edge(spark, sf, name, kinds, monkeypatch):
         assert {r.src[0] for r in edges(spark, sf).where(f"eid IN ({', '.join(str(r.eid) for r in rows)})").collect()} == kinds
     else:
         assert {r.key[0] for r in rows} == kinds and all((r.p_name is not None) == (r.key[0] == "P") for r in rows)
+
+
+def test_dense_groups_lose_no_near_duplicate(spark):
+    """Texts that share long boilerplate: twins over 0.8, all others under it, and all within reach of one another."""
+    import numpy as np
+
+    from grainline.llm import simhash
+
+    r, rows = random.Random(3), []
+    common = [f"c{r.random()}" for _ in range(404)]
+    for k in range(250):
+        own = [f"w{r.random()}" for _ in range(60)]
+        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + own[:34] + [f"v{r.random()}" for _ in range(26)]))]
+    sets = [np.unique(simhash.shingle_hashes(t, 5, 42)) for _, t in rows]
+    sizes = np.array([len(x) for x in sets])
+    fps = [simhash.majority(simhash.mixed(np.concatenate(sets), k), sizes) for k in range(6)]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    near = 0
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.min([np.bitwise_count(f[i] ^ f[i + 1 :]) for f in fps], axis=0) <= 8) + i + 1 if i + 1 < len(rows) else []:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= 0.8 * (sizes[i] + sizes[j] - both):
+                near += 1
+                a, b = sorted((find(i), find(int(j))))
+                up[b] = a
+    assert near > 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {x.doc_id for x in simhash.deduplicated(docs).collect()} == {find(i) for i in range(len(rows))}
