@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -73,8 +73,10 @@ def matches(
     A document holds an item if at least `share` of the item's distinct template windows stand in it in
     line, that is at the same distance from their places in the item give or take one word for each
     insertion or deletion, and the slots are consistent: over the line every value of the item has one
-    value in the document, and no two values of the item share one, among names. Items of fewer words
-    than a window are one window of all their words and are found only as whole texts.
+    value in the document. Of a template that recurs within a line each window counts once, where it is
+    nearest the line's main offset; windows with the item's own values need no such check if they alone
+    make up the share. Items of fewer words than a window are one window of all their words and are found
+    only as whole texts.
 
     The benchmark's windows are broadcast if there are at most BROADCAST_WINDOWS of them, else both sides
     are shuffled by hash. All windows of all documents are joined; what is grouped are hits, per document
@@ -92,14 +94,24 @@ def matches(
         item_side = F.broadcast(item_side)
     hits = written(d.join(item_side, "hash").where("size(slots) = size(own)").distinct(), "benchmark-hits")
     # lines: hits of a document and item whose places differ alike, up to a few words inserted or dropped
-    hits = hits.withColumn("line", F.expr("CAST(floor((place - at) / 8.0) AS BIGINT)"))
-    lines = hits.unionByName(hits.withColumn("line", F.col("line") + 1)).groupBy("doc_id", "item_id", "line")
-    found = lines.agg(
+    key = ["doc_id", "item_id", "line"]
+    hits = hits.withColumn("off", F.col("place") - F.col("at")).withColumn("line", F.expr("CAST(floor(off / 8.0) AS BIGINT)"))
+    lines = hits.unionByName(hits.withColumn("line", F.col("line") + 1)).repartition(*key)
+    # a template that recurs within a line also meets itself shifted: each window keeps the hit nearest the line's main offset
+    same = Window.partitionBy(*key, "off")
+    lines = lines.withColumn("n", F.struct(F.count(F.lit(1)).over(same).alias("n"), F.sum((F.col("own") == F.col("slots")).cast("int")).over(same).alias("same"), (-F.col("off")).alias("off")))
+    lines = lines.withColumn("far", F.col("off") + F.max("n").over(Window.partitionBy(*key))["off"]).drop("n")
+    near = F.struct(F.abs("far").alias("d"), "far")
+    for one, other in (("place", "at"), ("at", "place")):
+        kept = F.min_by(F.struct(other, "hash", "own", "slots", "off", "far"), near).alias("h")
+        lines = lines.groupBy(*key, one).agg(kept).select(*key, one, "h.*")
+    found = lines.groupBy(*key).agg(
         F.count_distinct("hash").alias("n_windows"),
-        F.min(F.col("place") - F.col("at")).alias("start"),
+        F.count_distinct(F.when(F.col("own") == F.col("slots"), F.col("hash"))).alias("n_same"),
+        F.min("off").alias("start"),
         F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("own", "slots")))).alias("pairs"),
     )
-    consistent = F.expr("size(array_distinct(transform(pairs, p -> p.own))) = size(pairs)")
+    consistent = F.expr("size(array_distinct(transform(pairs, p -> p.own))) = size(pairs)") | (F.col("n_same") >= F.lit(share) * F.col("of"))
     found = found.join(F.broadcast(counts) if n <= BROADCAST_WINDOWS else counts, "item_id")
     found = found.where((F.col("n_windows") >= F.lit(share) * F.col("of")) & consistent)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("n_windows"), (F.col("n_windows") / F.col("of")).alias("share"), F.col("start"))).alias("best"))
