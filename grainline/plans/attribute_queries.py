@@ -223,6 +223,13 @@ def attr_tree_lookup(spark, sf):
     return trees.lookup(t, _lines(spark, sf).where("pos % 50 = 7").select("pos"))
 
 
+@query(_LINES)
+def attr_tree_lookup_all(spark, sf):
+    """Every line looked up; attr_tree_lookup, like its SQL, asks for a fiftieth of them."""
+    t = materialized(trees.attribute_tree(_lines(spark, sf), "word_bag", 4), "tree")
+    return trees.lookup(t, _lines(spark, sf).select("pos"))
+
+
 @query("SELECT p_partkey AS id, CAST(sum(length(p_name)) OVER (ORDER BY p_partkey) - length(p_name) AS BIGINT) AS before FROM part")
 def running_offsets(spark, sf):
     d = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.length("p_name").alias("n"))

@@ -94,3 +94,8 @@ def test_items_that_list_like_quantities(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.share for r in decontamination.matches(d, b).collect()}
     assert set(got) == {0, 1, 2, 3, 4} and got[0] == got[1] == 1.0
+
+
+def test_every_line_is_looked_up(spark, sf):
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert sorted(r.pos for r in catalog.QUERIES["attr_tree_lookup_all"](spark, sf).collect()) == list(range(n))
