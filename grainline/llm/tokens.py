@@ -23,8 +23,8 @@ class Encoder:
     The pattern of these vocabularies never joins what stands before a space to a visible character
     after it, so a text may be cut there: its ids are those of its words, each with its space. Words
     are found and made distinct by Arrow; only words not yet remembered go to the library. Texts where
-    a space precedes white space go to it whole. add_special_tokens is off, and the strings of special
-    tokens are ordinary text.
+    a space precedes white space, or that hold the string of an added token, go to it whole. The ids are
+    those of the plain call with add_special_tokens=False, which reads such a string as that token.
     """
 
     def __init__(self, path: str):
@@ -32,7 +32,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.spaced[[i for w, i in self.tokenizer.get_vocab().items() if w[0] == "\u0120"]] = True
         self.known: dict[str, int] = {}
@@ -113,6 +113,8 @@ class Encoder:
         """The ids of each text, uint32; null is read as empty."""
         texts = pc.fill_null(texts, "")
         unsafe = pc.match_substring_regex(texts, UNSAFE).to_numpy(zero_copy_only=False).astype(bool)
+        for content in self.added:
+            unsafe |= pc.match_substring(texts, content).to_numpy(zero_copy_only=False).astype(bool)
         out: list[np.ndarray] = [None] * len(texts)  # type: ignore[list-item]
         safe = np.flatnonzero(~unsafe)
         if len(safe):
