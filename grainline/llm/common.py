@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,15 +16,29 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int | None) -> Iterator[None]:
+    """Rows of an Arrow batch while something is run here, as before afterwards; Spark itself keeps batches below 64 MB or one row."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        if rows:
+            spark.conf.set(name, str(rows))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def written(df: DataFrame, name: str, *partition_by: str, rows: int | None = None) -> DataFrame:
     """df, written once to the shared folder as Parquet and read again: lineage ends here."""
-    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name, *partition_by))
+    return df.sparkSession.read.schema(df.schema).parquet(written_path(df, name, *partition_by, rows=rows))
 
 
-def written_path(df: DataFrame, name: str, *partition_by: str) -> str:
-    """Writes df to a new folder below the shared one, and returns the folder."""
+def written_path(df: DataFrame, name: str, *partition_by: str, rows: int | None = None) -> str:
+    """Writes df to a new folder below the shared one, with so many rows in an Arrow batch, and returns the folder."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    with arrow_rows(df.sparkSession, rows):
+        df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return path
 
 
@@ -40,8 +56,3 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Rows of one Arrow batch, so that a batch of very long texts still fits into a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

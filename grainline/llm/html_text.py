@@ -12,8 +12,6 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
-
 #: HTML's elements by how they nest.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style template textarea svg math object iframe noframes noembed".split())
@@ -378,7 +376,6 @@ def extracted(df: DataFrame, page: str = "html", crf: Crf | None = None) -> Data
     n_chars are replaced.
     """
     crf = crf or model()
-    small_batches(df.sparkSession, 64)
 
     @F.pandas_udf("string")
     def read(pages):

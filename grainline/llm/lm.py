@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, remove, small_batches, written, written_path
+from .common import LOWER, UPPER, remove, written, written_path
 from .tokens import blocks, column
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -234,13 +234,13 @@ def scored(df: DataFrame, doc: str = "doc_id", text: str = "text", share: float
     64-bit hashes, bigrams by 56-bit ones.
     """
     spark = df.sparkSession
-    small_batches(spark)
+
     d = df.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
     size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(8, min(MOST_PARTS, size // PART_BYTES))
     schema = "kind string, chunk bigint, part int, payload binary"
     path = written_path(d.mapInArrow(_gathered(parts, chunk_bytes), schema), "lm-chunks", "kind")
-    small_batches(spark, 8)
+
     chunks = spark.read.schema(schema).parquet(path)
     sums = written(
         chunks.where("kind = 'grams'").drop("kind").repartition(parts, "part").groupBy("part").applyInPandas(_summed, "chunk bigint, part int, payload binary, total bigint, types bigint"),

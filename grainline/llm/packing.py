@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import written
 from .tokens import Encoder, blocks, column
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>"
@@ -26,7 +26,6 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     A document's tokens are its text's ids and end_id. Only a longer one is cut, so that all pieces but
     the first are full. Null and empty texts have one token. Repeated rows give pieces each.
     """
-    small_batches(df.sparkSession)
     names = [c.split()[0] for c in PIECES.split(", ")][: None if with_ids else -1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +191,7 @@ def packing_table(docs: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row per piece of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
 
-    cut = written(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity, with_ids=False), "pieces")
+    cut = written(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity, with_ids=False), "pieces", rows=512)
     return packed(cut, capacity)
 
 

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import shared_dir, small_batches
+from .common import arrow_rows, shared_dir
 from .tokens import Encoder, blocks, column
 
 MAGIC = b"GLBP"
@@ -25,28 +26,29 @@ def width_of(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
-def pack(docs: list[tuple[int, np.ndarray]], width: int) -> bytes:
-    """One block: magic, width, number of documents, their ids and ends, then all token ids, width bits each.
+def pack(docs: list[tuple[int | None, np.ndarray]], width: int) -> bytes:
+    """One block: magic, width, number of documents and of those without an id, which come first, their ids and ends, then all token ids, width bits each.
 
     Bits fill bytes from the lowest; the token at place i is bits i * width on, so any stretch is read alone.
     """
     ids = np.concatenate([x for _, x in docs]) if docs else np.empty(0, np.uint32)
     if len(ids) and int(ids.max()) >> width:
         raise ValueError(f"an id needs more than {width} bits")
-    head = MAGIC + struct.pack("<BI", width, len(docs))
-    head += np.array([d for d, _ in docs], "<i8").tobytes() + np.cumsum([len(x) for _, x in docs], dtype="<i8").tobytes()
+    head = MAGIC + struct.pack("<BII", width, len(docs), sum(d is None for d, _ in docs))
+    head += np.array([d or 0 for d, _ in docs], "<i8").tobytes() + np.cumsum([len(x) for _, x in docs], dtype="<i8").tobytes()
     if width == 16:  # the same bits, without taking them apart
         return head + ids.astype("<u2").tobytes()
     bits = (ids[:, None] >> np.arange(width, dtype=np.uint32)) & 1
     return head + np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
-def directory(payload: bytes) -> tuple[int, np.ndarray, np.ndarray, int]:
+def directory(payload: bytes) -> tuple[int, list[int | None], np.ndarray, int]:
     """Of a block: width, ids and ends of its documents, and where its bits begin."""
     if payload[:4] != MAGIC:
         raise ValueError("not a block of token ids")
-    width, n = struct.unpack_from("<BI", payload, 4)
-    return width, np.frombuffer(payload, "<i8", n, 9), np.frombuffer(payload, "<i8", n, 9 + 8 * n), 9 + 16 * n
+    width, n, without = struct.unpack_from("<BII", payload, 4)
+    ids = [None] * without + np.frombuffer(payload, "<i8", n, 13)[without:].tolist()
+    return width, ids, np.frombuffer(payload, "<i8", n, 13 + 8 * n), 13 + 16 * n
 
 
 def unpack(payload: bytes, start: int, end: int) -> np.ndarray:
@@ -71,12 +73,11 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc:
     stretch of the whole sequence and parts follow each other in order. A block closes with the document
     that brings it to BLOCK_IDS; a very long text makes one larger block.
 
-    Null texts are read as empty: their one id is end_id. Rows without an id come first, written with
-    the id -1. Repeated rows and ids are all written, ties in no fixed order between equal ids. An empty
+    Null texts are read as empty: their one id is end_id. Rows without an id come first and stay without
+    one. Repeated rows and ids are all written, ties in no fixed order between equal ids. An empty
     table writes no block. Other columns are not read.
     """
     spark = df.sparkSession
-    small_batches(spark)
     if vocabulary is None:
         from tokenizers import Tokenizer
 
@@ -104,13 +105,14 @@ def write_tokens(df: DataFrame, path: str, tokenizer: str, end_id: int = 0, doc:
         if held:
             yield closed()
 
-    d = df.select(F.coalesce(F.col(doc).cast("bigint"), F.lit(-1)).alias("doc"), F.col(text).cast("string").alias("text"))
+    d = df.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
     d = d.repartitionByRange("doc").sortWithinPartitions("doc")
-    d.mapInArrow(encode, BLOCK).write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, 512):
+        d.mapInArrow(encode, BLOCK).write.option("compression", "zstd").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, columns: str, of) -> DataFrame:
-    """of(doc id, token ids) as a row (columns, DDL) of every document in the files, with `start`.
+    """of(doc id or None, token ids) as a row (columns, DDL) of every document in the files, with `start`.
 
     start: token ids before the document in the whole sequence, by sums over parts (a few rows each).
     """
@@ -119,16 +121,18 @@ def read_tokens(spark: SparkSession, path: str, columns: str, of) -> DataFrame:
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     names = [c.split()[0] for c in columns.split(",")]
+    types = [f.type for f in to_arrow_schema(stored.select(F.lit(0).cast("bigint").alias("start"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in columns.split(",")]).schema)]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
                 _, docs, ends, _ = directory(row["payload"])
                 at, rows = 0, []
-                for d, e in zip(docs.tolist(), ends.tolist(), strict=True):
+                for d, e in zip(docs, ends.tolist(), strict=True):
                     rows.append((row["before"] + row["start"] + at, *of(d, unpack(row["payload"], at, e))))
                     at = e
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["start", *names])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["start", *names])
 
     return stored.join(F.broadcast(sums) if sums.count() <= 100_000 else sums, "part").select("before", "start", "payload").mapInArrow(decode, f"start bigint, {columns}")
 
