@@ -42,6 +42,15 @@ def written_path(df: DataFrame, name: str, *partition_by: str, rows: int | None
     return path
 
 
+#: Rows of ids up to which a join broadcasts them, some 16 bytes each; more are shuffled.
+FEW_IDS = 1_000_000
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """One column of ids, read from a written table, for a join: broadcast if there are at most FEW_IDS rows."""
+    return F.broadcast(ids) if ids.limit(FEW_IDS + 1).count() <= FEW_IDS else ids
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder that written_path() made and that no later step reads."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,26 +2,23 @@
 
 from __future__ import annotations
 
-import functools
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, remove, small_batches, written, written_path
+from .common import LOWER, UPPER, few, remove, written, written_path
 from .components import components
 
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
-#: Points that a leaf of a tree compares all with all.
-LEAF = 256
-#: Vantage points that deal a band's fingerprints out to shards, and the shard size aimed at.
-VANTAGES, SHARD_POINTS = 8, 64
-#: The same where pairs are wanted: comparing a point with half of 2,048 others takes about as long as shuffling one row more.
-PAIR_SHARD_POINTS = 2048
+#: Points that a leaf of a tree compares all with all, points of a shard aimed at, and points that one task holds at once.
+LEAF, SHARD_POINTS, BLOCK_POINTS = 16, 256, 16384
+#: Share of the points that a median split by a vantage point sends to one side, its boundary included, as bits.
+SPLIT_BITS = 0.77
 
 
 def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
@@ -67,7 +64,6 @@ def fingerprint(texts: list[str | None], shingle: int = 4, seed: int = 42) -> np
 
 def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp) of every row, fp the fingerprint's bits as a signed long, whole texts hashed."""
-    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,39 +75,81 @@ def fingerprints(df: DataFrame, shingle: int = 4, seed: int = 42, doc: str = "do
     return df.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
-def bands(bits: int, points: int, shard: int = SHARD_POINTS) -> list[int]:
-    """Masks of bands of which a pair within `bits` bits has no differing bit in at least one.
-
-    64 bits are cut into blocks; a pair differs in at most `bits` of them, so it agrees on one choice of
-    the others. The fewest blocks are taken with which a band has bits enough for shards of about
-    `shard` of so many points.
-    """
-    need = min(40.0, math.log2(max(2, points) / shard)) if points > shard else 1.0
-    blocks = bits + 1
-    while blocks < 64 and (blocks - bits) * (64 // blocks) < need and math.comb(blocks + 1, bits) <= 5000:
-        blocks += 1
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << b) - (1 << a)) for a, b in itertools.pairwise(edges)]
-    return [sum(c) for c in itertools.combinations(masks, blocks - bits)]
-
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th hash made of each hash; the 0-th is the hash itself."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
 
+class Partition:
+    """Vantage points by which fingerprints are dealt out to shards, such that every pair within `bits` bits meets in one.
 
-def shard_key(fp: Column, band: int, mask: int, seed: int = 42) -> Column:
-    """The leaf of a band's tree: the Hamming distances, within the band, from fixed vantage points.
+    The 64 bits are cut into bits // 2 + 1 blocks: a pair has at most one differing bit (`reach`) in some
+    block. Each block has a tree whose nodes of one level share a vantage point and split at the median
+    distance from it. A point on the boundary, whose distance is within reach of the other side's, goes
+    to both sides; by the triangle inequality a pair that the block keeps within reach then shares a leaf.
+    Levels are as many as make shards of about SHARD_POINTS of so many points. A level splits points by
+    0.77 bits (boundaries included) and copies 0.17 of them, so rows grow as the points to the power 1.3.
+    """
 
-    By the triangle inequality two fingerprints with no differing bit in the band have equal distances
-    from every vantage point, so at this level a query's boundary has width 0 and it visits one shard.
+    def __init__(self, bits: int, points: int, seed: int = 42):
+        blocks = bits // 2 + 1
+        edges = [round(64 * i / blocks) for i in range(blocks + 1)]
+        self.reach = bits // blocks
+        levels = math.ceil(max(0.0, math.log2(max(1, points) / SHARD_POINTS)) / SPLIT_BITS)
+        self.blocks = []
+        for k, (a, b) in enumerate(itertools.pairwise(edges)):
+            mask = np.uint64((1 << b) - (1 << a))
+            vantages = np.random.default_rng([seed, k]).integers(0, 1 << 64, min(levels, b - a), dtype=np.uint64) & mask
+            self.blocks.append((mask, vantages, (b - a) // 2))
+
+    def deal(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in fp, shard) of every copy of every fingerprint."""
+        places, shards = [], []
+        for k, (mask, vantages, median) in enumerate(self.blocks):
+            at, shard = np.arange(len(fp)), np.full(len(fp), k, np.uint64)
+            for v in vantages:
+                d = np.bitwise_count((fp & mask) ^ v)[at]
+                outside, edge = d > median, (d <= median) & (d > median - self.reach)
+                shard, crossed = mixed(np.where(outside, shard + np.uint64(1 << 32), shard), 1), mixed(shard[edge] + np.uint64(1 << 32), 1)
+                at, shard = np.concatenate([at, at[edge]]), np.concatenate([shard, crossed])
+            places.append(at)
+            shards.append(shard)
+        return np.concatenate(places), np.concatenate(shards).view(np.int64)
+
+
+def across(pa_: np.ndarray, a: np.ndarray, pb: np.ndarray, b: np.ndarray, bits: int, leaf: int = LEAF) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks (places in pa_, places in pb) to compare, which hold every pair of pa_[a] and pb[b] within `bits` bits.
+
+    A vantage point splits the larger side at its median distance; of the other side, each part gets what
+    lies within its boundary and the overlap.
     """
-    rng = np.random.default_rng([seed, band])
-    key = F.lit(band).cast("bigint")
-    for _ in range(VANTAGES):
-        v = _signed(int(rng.integers(0, 1 << 64, dtype=np.uint64)) & mask)
-        d = F.bit_count(fp.bitwiseXOR(F.lit(v)).bitwiseAND(F.lit(_signed(mask))))
-        key = F.xxhash64(key, d)
-    return key
+    todo = [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if not len(a) or not len(b):
+            continue
+        if len(a) * len(b) <= leaf * leaf:
+            yield a, b
+            continue
+        swap = len(a) > len(b)
+        small, large, ps, pl = (b, a, pb, pa_) if swap else (a, b, pa_, pb)
+        v = pl[large[0]]
+        ds, dl = (np.bitwise_count(p[x] ^ v).astype(np.int64) for p, x in ((ps, small), (pl, large)))
+        m = int(np.median(dl))
+        parts = [(small[ds <= m + bits], large[dl <= m]), (small[ds > m - bits], large[dl > m])]
+        if sum(len(x) * len(y) for x, y in parts) > 0.9 * len(a) * len(b):  # nothing to prune here
+            step = max(1, (1 << 16) // len(small)) if len(small) < 256 else 256
+            for i in range(0, len(small), 256):
+                for j in range(0, len(large), step):
+                    x, y = small[i : i + 256], large[j : j + step]
+                    yield (y, x) if swap else (x, y)
+        else:
+            todo += [(y, x) if swap else (x, y) for x, y in parts]
 
 
 class Forest:
@@ -120,215 +158,172 @@ class Forest:
     A node splits its points at the median distance from a vantage point. A pair across the split is
     within reach only if both lie in the overlap of the boundary, so each side's overlap alone is joined
     with the other's, again by a vantage point, until few are left. Points within bits / 2 of a vantage
-    point are linked to it and to each other without a comparison.
+    point are linked to it and to each other without a comparison. `compared` counts pairs looked at.
     """
 
-    def __init__(self, points: np.ndarray, bits: int):
-        self.points, self.bits, self.label = points, bits, np.arange(len(points))
+    def __init__(self, points: np.ndarray, bits: int, leaf: int = LEAF):
+        self.points, self.bits, self.leaf, self.compared = points, bits, leaf, 0
+        self.up = np.arange(len(points))
         for a, b in self.within(np.arange(len(points))):
             self.compare(a, b)
+        self.label = self.find(np.arange(len(points)))
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        root = self.up[at]
+        while (above := self.up[root]).tobytes() != root.tobytes():
+            root = above
+        self.up[at] = root
+        return root
 
     def link(self, at: np.ndarray) -> None:
-        found = np.unique(self.label[at])
-        if len(found) > 1:
-            self.label[np.isin(self.label, found[1:])] = found[0]
+        found = np.unique(self.find(at))
+        self.up[found[1:]] = found[0]
 
     def compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.compared += len(a) * (len(a) - 1) // 2 if a is b else len(a) * len(b)
         near = np.bitwise_count(self.points[a][:, None] ^ self.points[b][None, :]) <= self.bits
         if a is b:
             np.fill_diagonal(near, False)
         for i in np.flatnonzero(near.any(1)):
             self.link(np.append(b[near[i]], a[i]))
 
-    def split(self, at: np.ndarray) -> tuple[np.ndarray, int]:
-        d = np.bitwise_count(self.points[at] ^ self.points[at[0]]).astype(np.int64)
-        close = at[2 * d <= self.bits]
-        self.link(close)
-        return d, int(np.median(d))
-
     def within(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Blocks of points to compare, which hold every pair within reach."""
         todo = [at]
         while todo:
             at = todo.pop()
-            if len(at) <= LEAF:
+            if len(at) <= self.leaf:
                 yield at, at
                 continue
-            d, m = self.split(at)
+            d = np.bitwise_count(self.points[at] ^ self.points[at[0]]).astype(np.int64)
+            m = int(np.median(d))
+            self.link(at[2 * d <= self.bits])
             low, high = at[d <= m], at[d > m]
-            if not len(high) or not len(low):
-                for i in range(0, len(at), LEAF):
-                    yield from self.across(at[i : i + LEAF], at[i:])
+            if not len(high):  # all as far away as the farthest: the rest against the first few, then on
+                yield at[: self.leaf], at[: self.leaf]
+                yield from across(self.points, at[: self.leaf], self.points, at[self.leaf :], self.bits, self.leaf)
+                todo.append(at[self.leaf :])
                 continue
             todo += [low, high]
-            yield from self.across(at[(d <= m) & (d > m - self.bits)], at[(d > m) & (d <= m + self.bits)])
-
-    def across(self, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        todo = [(a, b)]
-        while todo:
-            a, b = todo.pop()
-            if not len(a) or not len(b):
-                continue
-            if len(a) * len(b) <= LEAF * LEAF:
-                yield a, b
-                continue
-            if len(a) > len(b):
-                a, b = b, a
-            v = self.points[b[0]]
-            da, db = (np.bitwise_count(self.points[x] ^ v).astype(np.int64) for x in (a, b))
-            m = int(np.median(db))
-            parts = [(a[da <= m + self.bits], b[db <= m]), (a[da > m - self.bits], b[db > m])]
-            if any(len(x) == len(a) and len(y) == len(b) for x, y in parts):
-                step = max(1, LEAF * LEAF // len(a)) if len(a) <= LEAF else LEAF
-                todo += [(a[i : i + LEAF], b[j : j + step]) for i in range(0, len(a), LEAF) for j in range(0, len(b), step)]
-            else:
-                todo += parts
-
-
-class Pairs(Forest):
-    """The pairs of points within `bits` bits, of sets whose sizes allow the similarity.
-
-    Where points have over DENSE such pairs each, a spanning forest of the closest ones is given instead,
-    so that the pairs of a group that is one class never grow with its square. The ends of pairs left out
-    are given as pairs with themselves; Apart has those pairs once the forest is measured.
-    """
-
-    DENSE = 4
+            yield from across(self.points, at[(d <= m) & (d > m - self.bits)], self.points, at[(d > m) & (d <= m + self.bits)], self.bits, self.leaf)
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, bits: int, similarity: float):
-        self.sizes, self.similarity, self.found = sizes, similarity, []
-        super().__init__(points, bits)
 
-    def link(self, at: np.ndarray) -> None:
-        if len(at) > 1:
-            other = at[self.label[at] != self.label[at[0]]]
-            self.found.append(np.stack([other, np.full(len(other), at[0])], 1))
-            super().link(at)
-
-    def near(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        d = np.bitwise_count(self.points[a][:, None] ^ self.points[b][None, :])
-        i, j = np.divmod(np.flatnonzero(d <= self.bits), len(b))
-        n, m = self.sizes[a[i]], self.sizes[b[j]]
-        fit = (np.minimum(n, m) >= self.similarity * np.maximum(n, m)) & ((i < j) if a is b else (a[i] != b[j]))
-        return d, i[fit], j[fit]
+def by_group(make: Callable, out: Callable):
+    """A mapInArrow function over rows sorted by (shard, block, role): role 0 are a block's own rows, 1 visit it.
 
-    def compare(self, a: np.ndarray, b: np.ndarray) -> None:
-        d, i, j = self.near(a, b)
-        if len(i) > self.DENSE * (len(a) + len(b)):
-            order = np.argsort(d[i, j], kind="stable")
-            i, j = a[i[order]], b[j[order]]
-            ends = np.unique(np.concatenate([i, j]))
-            self.found.append(np.stack([ends, ends], 1))
-            while len(i):
-                self.found.append(np.array([[i[0], j[0]]]))
-                Forest.link(self, np.array([i[0], j[0]]))
-                apart = self.label[i] != self.label[j]
-                i, j = i[apart], j[apart]
-        elif len(i):
-            self.found.append(np.stack([a[i], b[j]], 1))
+    make(columns of the own rows) gives an object whose own() and visit(columns) give what is found, of
+    which out() makes a batch. Own rows are held until the block ends, visitors one batch at a time.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, home, found, n = None, [], None, [], 0
 
-class Apart(Pairs):
-    """All pairs of points within `bits` bits whose sizes allow the similarity and whose classes differ."""
+        def opened():
+            return make(held[0] if len(held) == 1 else {c: np.concatenate([h[c] for h in held]) for c in held[0]})
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, classes: np.ndarray, bits: int, similarity: float):
-        self.points, self.sizes, self.classes, self.bits, self.similarity = points, sizes, classes, bits, similarity
+        for batch in batches:
+            columns = {c: _column(batch.column(c)) for c in batch.schema.names}
+            shard, block, role = columns.pop("shard"), columns.pop("block"), columns.pop("role")
+            cuts = np.flatnonzero((np.diff(shard) != 0) | (np.diff(block) != 0) | (np.diff(role) != 0)) + 1
+            for lo, hi in itertools.pairwise([0, *cuts.tolist(), batch.num_rows]):
+                if hi == lo:
+                    continue
+                if key != (shard[lo], block[lo]):
+                    if home is None and held and (len(held) > 1 or len(held[0]["fp"]) > 1):
+                        found.append(opened().own())
+                    key, held, home = (shard[lo], block[lo]), [], None
+                part = {c: x[lo:hi] for c, x in columns.items()}
+                if role[lo] == 0:
+                    held.append(part)
+                elif held:
+                    if home is None:
+                        home = opened()
+                        found.append(home.own())
+                    found.append(home.visit(part))
+                if len(found) > 1000:
+                    yield from out(found)
+                    found = []
+        if home is None and held:
+            found.append(opened().own())
+        yield from out(found)
 
-    def link(self, at: np.ndarray) -> None:
-        """Nothing is linked before it is measured."""
+    return run
 
-    def found(self) -> Iterator[np.ndarray]:
-        for a, b in self.within(np.arange(len(self.points))):
-            c, e = self.classes[a], self.classes[b]
-            if (c != e[0]).any() or (e != e[0]).any():
-                _, i, j = self.near(a, b)
-                apart = c[i] != e[j]
-                yield np.stack([a[i[apart]], b[j[apart]]], 1)
 
+def _column(a: pa.Array) -> np.ndarray:
+    if pa.types.is_binary(a.type):
+        x = np.empty(len(a), object)
+        x[:] = a.to_pylist()
+        return x
+    if pa.types.is_list(a.type):
+        return a.flatten().to_numpy(zero_copy_only=False).reshape(len(a), -1)
+    return a.to_numpy(zero_copy_only=False)
 
-def _by_shard(links):
-    """A mapInArrow function over rows sorted by shard: links(table, lo, hi) gives arrays of pairs of rows lo to hi."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            columns = {c: table.column(c).to_numpy() for c in table.column_names}
-            cuts = np.flatnonzero(np.diff(columns["shard"])) + 1
-            found, n = [], 0
-            for lo, hi in itertools.pairwise([0, *cuts.tolist(), table.num_rows]):
-                for x in links(columns, lo, hi) if hi - lo > 1 else ():
-                    found.append(columns["rep"][x])
-                    n += len(x)
-                    if n >= 1 << 18:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], ["a", "b"])
-                        found, n = [], 0
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(found).T.copy()], ["a", "b"])
+def _pairs_out(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    both = np.concatenate([np.empty((0, 2), np.int64), *found])
+    for at in range(0, len(both), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in both[at : at + (1 << 18)].T.copy()], ["a", "b"])
 
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if rest is not None:
-                table = pa.concat_tables([rest, table])
-            shard = table.column("shard").to_numpy()
-            last = int(np.flatnonzero(shard == shard[-1])[0]) if len(shard) else 0
-            yield from done(table.slice(0, last).combine_chunks())
-            rest = table.slice(last)
-        if rest is not None:
-            yield from done(rest.combine_chunks())
 
-    return run
+class Prints:
+    """A block of fingerprints: links among its own, and of visitors to one of each class within reach."""
 
+    def __init__(self, columns: dict[str, np.ndarray], bits: int):
+        self.rep, self.points, self.bits = columns["rep"], columns["fp"].view(np.uint64), bits
+        self.forest = Forest(self.points, bits)
 
-def _links(bits: int):
-    def links(columns, lo: int, hi: int) -> list[np.ndarray]:
-        fp = columns["fp"][lo:hi]
-        if hi - lo == 2:
-            return [np.array([[lo + 1, lo]])] if (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= bits else []
-        label = Forest(fp.view(np.uint64), bits).label
+    def own(self) -> np.ndarray:
+        label = self.forest.label
         other = np.flatnonzero(label != np.arange(len(label)))
-        return [np.stack([other, label[other]], 1) + lo]
-
-    return _by_shard(links)
-
-
-def _pairs(bits: int, similarity: float):
-    def links(columns, lo: int, hi: int) -> list[np.ndarray]:
-        fp, n = columns["fp"][lo:hi], columns["n"][lo:hi]
-        if hi - lo == 2:
-            near = (int(fp[0] ^ fp[1]) & (1 << 64) - 1).bit_count() <= bits and min(n) >= similarity * max(n)
-            return [np.array([[lo + 1, lo]])] if near else []
-        return [x + lo for x in Pairs(fp.view(np.uint64), n, bits, similarity).found]
+        return np.stack([self.rep[other], self.rep[label[other]]], 1)
 
-    return _by_shard(links)
+    def visit(self, columns: dict[str, np.ndarray]) -> np.ndarray:
+        fp, found = columns["fp"].view(np.uint64), [np.empty((0, 2), np.int64)]
+        for a, b in across(fp, np.arange(len(fp)), self.points, np.arange(len(self.points)), self.bits):
+            i, j = np.nonzero(np.bitwise_count(fp[a][:, None] ^ self.points[b][None, :]) <= self.bits)
+            if len(i):
+                found.append(np.unique(np.stack([a[i], self.forest.label[b[j]]], 1), axis=0))
+        links = np.unique(np.concatenate(found), axis=0).astype(np.int64)
+        return np.stack([columns["rep"][links[:, 0]], self.rep[links[:, 1]]], 1)
 
 
-def _apart(bits: int, similarity: float):
-    def links(columns, lo: int, hi: int) -> Iterator[np.ndarray]:
-        fp, n, c = (columns[x][lo:hi] for x in ("fp", "n", "c"))
-        return (x + lo for x in Apart(fp.view(np.uint64), n, c, bits, similarity).found())
+def _dealt(partition: Partition):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
+                place, shard = partition.deal(part.column("fp").to_numpy().view(np.uint64))
+                rep, fp = (part.column(c).to_numpy()[place] for c in ("rep", "fp"))
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(fp), pa.array(shard)], ["rep", "fp", "shard"])
 
-    return _by_shard(links)
+    return run
 
 
 def clusters(prints: DataFrame, bits: int = 4) -> DataFrame:
     """prints (doc_id, fp) with component_id: the smallest doc_id that links of at most `bits` bits reach.
 
-    Equal fingerprints become one point first, so copies cost nothing more. Each point goes to one shard
-    of each band's tree; a shard is joined with itself by a tree of its own over all 64 bits, and gives
-    at most one link per point, never all pairs. Links are exact: a pair within reach agrees on a band,
-    and no shard is cut. They then become components by distributed rounds. A row
+    Equal fingerprints become one point first, so copies cost nothing more. Partition deals points out to
+    shards, boundary points to each side; a shard is joined with itself by a tree of its own over all 64
+    bits (Forest), and gives at most one link per point, never all pairs. A shard of more than
+    BLOCK_POINTS points is cut into blocks, and each block's points visit the later ones. Links are
+    exact: a pair within reach shares a shard. They then become components by distributed rounds. A row
     without an id takes the component of rows with its very fingerprint, else null; repeated rows are
     kept; an empty table gives an empty one.
     """
     spark = prints.sparkSession
     points_path = written_path(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-points")
     points = spark.read.schema("fp bigint, rep bigint").parquet(points_path)
-    masks = bands(bits, points.count())
-    keys = F.array(*[shard_key(F.col("fp"), i, m) for i, m in enumerate(masks)])
-    rows = points.where("rep IS NOT NULL").select("rep", "fp", F.explode(keys).alias("shard")).repartition("shard").sortWithinPartitions("shard", "fp")
-    small_batches(spark, 50_000)
-    links = rows.mapInArrow(_links(bits), "a bigint, b bigint").distinct()
+    dealt = points.where("rep IS NOT NULL").select("rep", "fp").mapInArrow(_dealt(Partition(bits, points.count())), "rep bigint, fp bigint, shard bigint")
+    large = written(dealt.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > BLOCK_POINTS), "simhash-large")
+    if large.isEmpty():
+        rows = dealt.withColumns({"block": F.lit(0), "role": F.lit(0)})
+    else:
+        rows = dealt.join(large, "shard", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("size") / BLOCK_POINTS), F.lit(1)).cast("int"))
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("block", F.explode(F.sequence("own", F.col("blocks") - 1)))
+        rows = rows.select("rep", "fp", "shard", "block", (F.col("block") != F.col("own")).cast("int").alias("role"))
+    rows = rows.repartition("shard", "block").sortWithinPartitions("shard", "block", "role", "fp")
+    links = written(rows.mapInArrow(by_group(lambda own: Prints(own, bits), _pairs_out), "a bigint, b bigint").distinct(), "simhash-links")
     roots = components(links, "simhash-links")
     found = points.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     # both sides are plain exchanges, so the adaptive plan splits a fingerprint that very many rows have
@@ -339,130 +334,206 @@ def clusters(prints: DataFrame, bits: int = 4) -> DataFrame:
 
 def op6_vantage_point_trees(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and components of all documents."""
-    prints = written(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "simhash-prints")
+    prints = written(fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet")), "simhash-prints", rows=512)
     return clusters(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def mixed(h: np.ndarray, k: int) -> np.ndarray:
-    """The k-th hash made of each hash; the 0-th is the hash itself."""
-    if not k:
-        return h
-    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+# ---------------------------------------------------------------- near duplicates by similarity
+
+#: Least-hash bands that deal texts out to shards, and hashes of a band: a pair of similarity 0.8 shares a band with probability 0.992.
+BANDS, BAND_HASHES = 16, 6
+#: Bits within which fingerprints of texts of similarity 0.8 lie: 9.7 +- 2.9 are expected.
+SIMILAR_BITS = 18
+#: Texts and shingles of a block of a shard that one task holds.
+BLOCK_TEXTS, BLOCK_SHINGLES = 2048, 1 << 21
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * BAND_HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(texts, BANDS) of each text's distinct hashes h, so many a text: the least of each of several hashes, by bands."""
+    out = np.zeros((len(counts), BANDS), np.uint64)
+    own = np.flatnonzero(counts)
+    if len(own):
+        at = np.cumsum(counts[own]) - counts[own]
+        for k, factor in enumerate(_FACTORS):
+            out[own, k // BAND_HASHES] = mixed(out[own, k // BAND_HASHES] ^ np.minimum.reduceat(h * factor, at), 1)
+    return out
 
 
-def shingle_sets(df: DataFrame, shingle: int, prints: int, seed: int = 42, doc: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
-    """(doc_id, key, n, fps) of every row: a hash of its set of shingles, the set's size, and `prints` fingerprints.
+def shingle_sets(df: DataFrame, shingle: int, seed: int = 42, doc: str = "doc_id", text: str = "text", sets: bool = False) -> DataFrame:
+    """(doc_id, key, n, fp, bands) of every row: a 128-bit hash of its set of shingles, the set's size, fingerprint and band keys.
 
     With `sets`, (doc_id, key, hashes) instead: the set itself, as ascending 64-bit numbers.
     """
-    small_batches(df.sparkSession)
-    import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
                 own = [np.unique(shingle_hashes(t, shingle, seed)) for t in part.column("text").to_pylist()]
-                keys = pa.array(np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64))
+                keys = pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary())
                 if sets:
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array([x.tobytes() for x in own], pa.binary())], ["doc_id", "key", "hashes"])
                     continue
-                n, h = np.array([len(x) for x in own], np.int64), np.concatenate(own)
-                fps = np.stack([majority(mixed(h, k), n).view(np.int64) for k in range(prints)], 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array(n), pa.array(list(fps), pa.list_(pa.int64()))], ["doc_id", "key", "n", "fps"])
+                n, h = np.array([len(x) for x in own], np.int32), np.concatenate(own)
+                bands = pa.array(list(band_keys(h, n).view(np.int64)), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array(n), pa.array(majority(h, n.astype(np.int64)).view(np.int64)), bands], ["doc_id", "key", "n", "fp", "bands"])
 
     rows = df.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, key bigint, hashes binary" if sets else "doc_id bigint, key bigint, n bigint, fps array<bigint>")
+    return rows.mapInArrow(run, "doc_id bigint, key binary, hashes binary" if sets else "doc_id bigint, key binary, n int, fp bigint, bands array<bigint>")
 
 
-def _sharded(masks: list[int], seed: int = 42):
-    """A mapInArrow function: every row once for each band, with its shard as in shard_key(), whose distances stand side by side."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = np.array(masks, np.uint64)
-        vantages = np.stack([np.random.default_rng([seed, i]).integers(0, 1 << 64, VANTAGES, dtype=np.uint64) & m for i, m in enumerate(bands)])
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                own = part.column("fp").to_numpy().view(np.uint64)[:, None] & bands
-                shard = np.broadcast_to(np.arange(len(bands)), own.shape)
-                for v in range(VANTAGES):
-                    shard = shard << 6 | np.bitwise_count(own ^ vantages[:, v])
-                rows = pa.Table.from_batches([part]).take(pa.array(np.repeat(np.arange(part.num_rows), len(bands))))
-                yield from rows.append_column("shard", pa.array(shard.reshape(-1).astype(np.int64))).combine_chunks().to_batches()
-
-    return run
+def _similar_sets(x: bytes, y: bytes, similarity: float) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= similarity * (len(x) + len(y) - both)
 
 
 def _similar(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
+            keep = [_similar_sets(x.as_buffer(), y.as_buffer(), similarity) for x, y in zip(batch.column("x_set"), batch.column("y_set"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def deduplicated(
-    docs: DataFrame, bits: int = 8, shingle: int = 5, similarity: float = 0.8, prints: int = 6, doc: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """The rows of docs without near duplicates: of each class, the rows of the smallest id stay.
+class Texts:
+    """A block of texts of a shard; visitors' links to them, a pair only where it is new.
 
-    Classes are the components of links between texts whose sets of shingles have a Jaccard similarity of
-    at least `similarity`. Pairs within `bits` bits in any of `prints` fingerprints of the sets are found
-    by the vantage-point trees, and each is then measured on the whole sets, so no text goes that no
-    similar one stays for. Of dense groups a spanning forest is measured first, then every pair whose ends
-    that left in different classes. What fingerprints miss is stated in the README. Equal sets are one point.
-    Texts without words are equal. A row without an id stays; repeated rows stay or go together; an empty
-    table gives an empty one; other columns are kept as they are.
+    A pair within reach is measured on the whole sets in the first of its common bands, unless its two
+    classes, as known so far, are one. So what a block gives is at most a link per text, whatever it compares.
+    """
+
+    def __init__(self, columns: dict[str, np.ndarray], similarity: float):
+        self.own_rows, self.similarity = columns, similarity
+        self.points = columns["fp"].view(np.uint64)
+        self.up: dict[bytes, bytes] = {}
+
+    def find(self, x: bytes) -> bytes:
+        while (above := self.up.get(x, x)) != x:
+            x = above
+        return x
+
+    def own(self) -> list[tuple[bytes, bytes]]:
+        return []
+
+    def visit(self, q: dict[str, np.ndarray]) -> list[tuple[bytes, bytes]]:
+        d, fp, found = self.own_rows, q["fp"].view(np.uint64), []
+        for a, b in across(fp, np.arange(len(fp)), self.points, np.arange(len(self.points)), SIMILAR_BITS):
+            far = np.bitwise_count(fp[a][:, None] ^ self.points[b][None, :])
+            i, j = np.nonzero(far <= SIMILAR_BITS)
+            order = np.argsort(far[i, j], kind="stable")
+            i, j = a[i[order]], b[j[order]]
+            n, m = q["n"][i], d["n"][j]
+            fit = np.minimum(n, m) >= self.similarity * np.maximum(n, m)
+            fit &= q["c"][i] != d["c"][j]
+            fit &= (q["bands"][i] == d["bands"][j]).argmax(1) == q["band"][i]
+            for x, y in zip(i[fit].tolist(), j[fit].tolist(), strict=True):
+                if d["visits"][y] and q["node"][x] < d["node"][y]:
+                    continue  # y visits x's block
+                r, s = self.find(q["c"][x]), self.find(d["c"][y])
+                if r != s and _similar_sets(q["hashes"][x], d["hashes"][y], self.similarity):
+                    self.up[s] = r
+                    found.append((q["node"][x], d["node"][y]))
+        return found
+
+
+def _nodes_out(found: list[list[tuple[bytes, bytes]]]) -> Iterator[pa.RecordBatch]:
+    both = [x for part in found for x in part]
+    yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in both], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+def _node(doc: Column, key: Column) -> Column:
+    """A text's node: 8 bytes that sort as its smallest doc_id, then its key."""
+    return F.concat(F.unhex(F.lpad(F.hex(doc.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")), key)
+
+
+def _doc(node: Column) -> Column:
+    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("bigint").bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def similar_classes(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): (doc_id, key) of every row and (key, doc_id, node, root) of every distinct set of shingles.
+
+    See deduplicated(). Classes are components of all pairs that share a band, lie within SIMILAR_BITS
+    and have the similarity. They don't depend on how shards are cut, since a pair is left unmeasured
+    only where its ends are known to be in one class. Bands travel as pairs of longs; only texts of shards
+    that hold several are hashed again for their whole sets.
     """
     spark = docs.sparkSession
-    whole = written(shingle_sets(docs, shingle, prints, doc=doc, text=text), "simhash-sets")
-    points = written(whole.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("fps").alias("fps")), "simhash-points")
-    masks = bands(bits, points.count(), PAIR_SHARD_POINTS)
-    small_batches(spark, 5_000)
-
-    def candidates(points: DataFrame, links, name: str) -> DataFrame:
-        extra = [c for c in points.columns if c == "c"]
-
-        def of(k: int) -> DataFrame:
-            # each print has an exchange of its own: tasks are no larger for several prints than for one
-            rows = points.select(F.col("key").alias("rep"), F.col("n").cast("int").alias("n"), *extra, F.col("fps")[k].alias("fp"))
-            rows = rows.mapInArrow(_sharded(masks), "rep bigint, n int, " + "c bigint, " * len(extra) + "fp bigint, shard bigint")
-            return rows.repartition("shard").sortWithinPartitions("shard", "fp", "rep").mapInArrow(links, "a bigint, b bigint")
-
-        found = functools.reduce(DataFrame.union, map(of, range(prints)))
-        return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), name)
-
-    found = candidates(points, _pairs(bits, similarity), "simhash-pairs")
-    pairs, dense = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("key"))
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    some = written(points.join(ends, "key", "left_semi").select("doc_id", "key"), "simhash-ends")
-    texts = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text")).join(some.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, shingle, prints, doc="doc_id", text="text", sets=True).join(some, ["doc_id", "key"], "left_semi").select("key", "hashes"), "simhash-hashes")
-    small_batches(spark, 64)
-
-    def measured(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("key").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("hashes").alias("y")), "b")
-        return written(both.mapInArrow(_similar(similarity), "a bigint, b bigint"), "simhash-similar")
-
-    links = measured(pairs)
+    whole = written(shingle_sets(docs, shingle, doc=doc, text=text), "simhash-sets", rows=512)
+    points = whole.where("doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")])
+    points = written(points.withColumns({"node": _node(F.col("doc_id"), F.col("key")), "pid": F.monotonically_increasing_id()}), "simhash-points")
+    dealt = points.select("pid", F.posexplode("bands").alias("band", "shard")).select("pid", "band", F.xxhash64("band", "shard").alias("shard"))
+    shared = dealt.groupBy("shard").agg(F.min("pid").alias("centre"), F.max("pid").alias("last")).where("centre <> last").drop("last")
+    rows = written(dealt.join(shared, "shard").join(points.select("pid", "node", "n", "fp"), "pid"), "simhash-shared")
+    wanted = written(rows.select("pid").distinct().join(points.select("pid", "doc_id", "key"), "pid"), "simhash-wanted")
+    some = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    some = some.join(few(wanted.select("doc_id").distinct()), "doc_id", "left_semi")
+    # grouped as joined: the sets of repeated rows meet without another exchange
+    sets = shingle_sets(some, shingle, sets=True).join(wanted, ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("pid").alias("pid"), F.first("hashes").alias("hashes"))
+    sets = written(sets.select("pid", "hashes"), "simhash-hashes", rows=512)
+    about = points.select("pid", "node", "n", "fp")
+
+    def measured(rows: DataFrame) -> DataFrame:
+        """Similar pairs of each shard's centre with its rows."""
+        pairs = rows.where("pid <> centre").select(F.col("centre").alias("x"), F.col("pid").alias("y")).distinct()
+        for side in "xy":
+            pairs = pairs.join(about.select(*[F.col(c).alias(side + "_" * (c != "pid") + c * (c != "pid")) for c in about.columns]), side)
+        fit = (F.least("x_n", "y_n") >= similarity * F.greatest("x_n", "y_n")) & (F.bit_count(F.col("x_fp").bitwiseXOR(F.col("y_fp"))) <= SIMILAR_BITS)
+        pairs = pairs.where(fit).select("x", "y", F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        for side in "xy":
+            pairs = pairs.join(sets.select(F.col("pid").alias(side), F.col("hashes").alias(f"{side}_set")), side).drop(side)
+        return written(pairs.mapInArrow(_similar(similarity), "a binary, b binary"), "simhash-similar", rows=256)
+
+    def mixed_shards(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of shards that hold several classes, with their class and whether it is the shard's commonest."""
+        d = rows.join(roots, rows["node"] == roots["node"], "left").select("shard", "band", "pid", rows["node"], "n", "fp", F.coalesce("root", rows["node"]).alias("c"))
+        by_class = d.groupBy("shard", "c").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+        main = by_class.groupBy("shard").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("size", "c"))["c"].alias("main"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"))
+        main = main.where("classes > 1").drop("classes")
+        return written(d.join(main, "shard").withColumn("visits", F.col("c") != F.col("main")).drop("main"), "simhash-mixed")
+
+    links = measured(rows)
+    left = mixed_shards(rows, components(links, "simhash-links"))
+    # what a first centre doesn't hold together, a second one may
+    open_rows = left.where("visits").select("shard", "pid")
+    links = links.unionByName(measured(open_rows.join(open_rows.groupBy("shard").agg(F.min("pid").alias("centre")), "shard")))
+    left = mixed_shards(left, components(links, "simhash-links"))
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    left = left.withColumn("blocks", blocks).drop("size", "shingles")
+    own = left.withColumns({"block": F.pmod(F.xxhash64("pid"), "blocks").cast("int"), "role": F.lit(0)})
+    visiting = left.where("visits").withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "role": F.lit(1)})
+    both = own.unionByName(visiting).drop("blocks").join(points.select("pid", "bands"), "pid").join(sets, "pid").drop("pid")
+    both = both.repartition("shard", "block").sortWithinPartitions("shard", "block", "role", "node")
+    links = links.unionByName(written(both.mapInArrow(by_group(lambda x: Texts(x, similarity), _nodes_out), "a binary, b binary").distinct(), "simhash-rest", rows=512))
     roots = components(links, "simhash-links")
-    if not dense.isEmpty():
-        # pairs that the forests left out: only those whose ends the measured links don't join are left to measure
-        small_batches(spark, 5_000)
-        left = points.join(dense, "key", "left_semi").join(roots, points["key"] == roots["node"], "left").select("key", "n", "fps", F.coalesce("root", "key").alias("c"))
-        rest = candidates(written(left, "simhash-dense"), _apart(bits, similarity), "simhash-rest").join(pairs, ["a", "b"], "left_anti")
-        small_batches(spark, 64)
-        roots = components(links.union(measured(rest)), "simhash-links")
-    kept = points.join(roots, points["key"] == roots["node"], "left").select("key", F.coalesce("root", "key").alias("root"), "doc_id")
-    kept = kept.select("key", "root").join(kept.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("key", "component_id")
-    gone = whole.join(kept, "key").where("doc_id <> component_id").select(F.col("doc_id").alias(doc)).distinct()
-    return docs.join(written(gone, "simhash-gone"), doc, "left_anti")
+    classes = points.join(roots, "node", "left").select("key", "doc_id", "node", F.coalesce("root", "node").alias("root"))
+    return whole.select("doc_id", "key"), written(classes, "simhash-classes")
+
+
+def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near duplicates: of each class, the rows of the smallest id stay.
+
+    Classes are the components of links between texts whose sets of shingles have a Jaccard similarity of
+    at least `similarity`, measured on the whole sets, so no text goes that no similar one stays for.
+
+    Candidates share one of BANDS least-hash bands and lie within SIMILAR_BITS of each other's
+    fingerprint. Bands rather than vantage points deal texts out to shards, since similarity 0.8 is some
+    ten bits of 64, where a vantage point's boundary holds nearly all points; a text has BANDS copies
+    however many texts there are. First each shard's smallest text is measured against the others, twice
+    over; then, in shards that still hold several classes, all texts outside the commonest class visit
+    every block of the shard. What bands miss is stated in the README.
+
+    Equal sets, by a 128-bit hash, are one text: among n texts n * n / 2**129 false pairs are expected.
+    Texts without words are equal. A row without an id stays. Rows of one id stay or go together, and go
+    only if each of their texts has a class with a smaller id. An empty table gives an empty one; other
+    columns are kept as they are.
+    """
+    whole, classes = similar_classes(docs, shingle, similarity, doc, text)
+    verdict = whole.where("doc_id IS NOT NULL").join(classes.select("key", _doc(F.col("root")).alias("first")), "key")
+    gone = verdict.groupBy("doc_id").agg(F.min(F.col("first") < F.col("doc_id")).alias("gone")).where("gone")
+    return docs.join(few(written(gone.select(F.col("doc_id").alias(doc)), "simhash-gone")), doc, "left_anti")

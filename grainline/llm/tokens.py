@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 #: A text with a space before white space, or a space at its end, is encoded as a whole.
 UNSAFE = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]|$)"
 #: Words that a worker remembers with their ids, about 100 bytes each, and bytes of text encoded at once.
-REMEMBERED, BATCH_BYTES = 300_000, 8 << 20
+REMEMBERED, BATCH_BYTES = 150_000, 2 << 20
 
 _encoders: dict[str, Encoder] = {}
 
