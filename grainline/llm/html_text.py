@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 #: HTML's elements by how they nest.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style template textarea svg math object iframe noframes noembed".split())
+RAW = frozenset("script style textarea".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head"
-    " header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
+    " header hgroup hr html legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 #: A start tag (left) ends an open element (right) unless one of BARRIERS is between.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
@@ -46,16 +47,35 @@ PURPOSE = {w: k for k, words in PURPOSES.items() for w in words.split()}
 
 
 #: What elements are for by themselves.
-MEANING = {"nav": "nav", "menu": "nav", "header": "head", "head": "head", "footer": "foot", "aside": "side", "form": "form", "dialog": "notice", "article": "content", "main": "content"}
+MEANING = {"nav": "nav", "menu": "nav", "header": "head", "head": "head", "footer": "foot", "aside": "side", "form": "form", "dialog": "notice", "noscript": "notice", "article": "content", "main": "content"}
 
 
-@dataclass
+@dataclass(slots=True)
+class Around:
+    """An open element, with what all elements around a text say: block tags and links, purposes, the innermost purpose and block."""
+
+    tag: str
+    tags: frozenset[str]
+    purposes: frozenset[str]
+    inner: str
+    block: str
+
+    def within(self, tag: str, own: frozenset[str]) -> Around:
+        """An element inside this one. Sets are shared while nothing is added, so depth costs nothing."""
+        counts = tag in BLOCK or tag == "a"
+        tags = self.tags | {tag} if counts and tag not in self.tags else self.tags
+        purposes = self.purposes if own <= self.purposes else self.purposes | own
+        says = {*own, MEANING.get(tag, "")} - {""}
+        return Around(tag, tags, purposes, min(says - {"content"} or says) if says else self.inner, tag if counts else self.block)
+
+
+@dataclass(slots=True)
 class Leaf:
-    """Text between two block boundaries: decoded, one space for white space; its elements from the root."""
+    """Text between two block boundaries: decoded, one space for white space; what is around it; characters inside links."""
 
     text: str
-    path: list[tuple[str, frozenset[str]]]
-    linked: int  # characters inside links
+    around: Around
+    linked: int
 
 
 def _purposes(attributes: str) -> frozenset[str]:
@@ -73,99 +93,108 @@ def _purposes(attributes: str) -> frozenset[str]:
 
 
 def leaves(page: str) -> list[Leaf]:
-    """The leaf blocks of a page in order, without empty ones; scripts, styles and comments give none."""
+    """The leaf blocks of a page in order, without empty ones; scripts, styles, text fields and comments give none.
+
+    Time follows the page's length however broken it is: a tag's end is looked for only before the last
+    `>`, open elements are found by their tag, and what is around a text is kept on the stack.
+    """
     out: list[Leaf] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = [Around("", frozenset(), frozenset(), "nothing", "")]
+    places: dict[str, list[int]] = {}  # of open elements, by tag
+    barriers: list[int] = [0]
     pieces: list[str] = []
-    linked = in_link = 0
+    linked = 0
 
     def text(raw: str) -> None:
         nonlocal linked
         if raw:
             t = html.unescape(raw) if "&" in raw else raw
             pieces.append(t)
-            linked += len(t) * bool(in_link)
+            linked += len(t) * bool(places.get("a"))
 
     def flush() -> None:
         nonlocal linked, pieces
         if pieces:
             t = " ".join("".join(pieces).split())
             if t:
-                out.append(Leaf(t, list(stack), linked))
+                out.append(Leaf(t, stack[-1], linked))
             pieces, linked = [], 0
 
     def close(k: int) -> None:
-        nonlocal in_link
-        if any(t in BLOCK for t, _ in stack[k:]):
+        if any(x.tag in BLOCK for x in stack[k:]):
             flush()
-        in_link -= sum(t == "a" for t, _ in stack[k:])
+        for x in stack[k:]:
+            places[x.tag].pop()
+            if x.tag in BARRIERS:
+                barriers.pop()
         del stack[k:]
 
-    at = 0
-    while m := TOKEN.search(page, at):
+    at, last = 0, page.rfind(">") + 1
+    while m := TOKEN.search(page, at, last):
         text(page[at : m.start()])
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
-                close(k)
+            if places.get(tag):
+                close(places[tag][-1])
             elif tag in BLOCK:
                 flush()
             continue
         if not (tag := (m[2] or m[4] or "").lower()):
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(page)
+                break
             continue
         attributes = m[3] or m[5] or ""
         if tag in RAW:
             if not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                end = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+                at = page.find(">", end.end()) + 1 if end else 0
+                if not at:
+                    at = len(page)
+                    break
             continue
         if tag == "br":
             pieces.append(" ")
             continue
-        ends = ENDS.get(tag, ())
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in ends or (stack[k][0] == "p" and tag in BLOCK):
-                close(k)
-                break
-            if stack[k][0] in BARRIERS and not (tag == "body" and stack[k][0] == "html"):
-                break
+        k = max((places[t][-1] for t in (*ENDS.get(tag, ()), "p" if tag in BLOCK else "") if places.get(t)), default=-1)
+        if k > (barriers[-2] if tag == "body" and stack[barriers[-1]].tag == "html" else barriers[-1]):
+            close(k)
         if tag in BLOCK:
             flush()
         if tag not in VOID and not attributes.endswith("/"):
-            stack.append((tag, _purposes(attributes)))
-            in_link += tag == "a"
-    text(page[at:])
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BARRIERS:
+                barriers.append(len(stack))
+            stack.append(stack[-1].within(tag, _purposes(attributes)))
+    rest = page[at:]
+    text(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
     return out
 
 
+def feature_row(b: Leaf) -> list[str]:
+    """Of a block: its ancestors' tags, their purposes, and what its text is like."""
+    words, around = b.text.count(" ") + 1, b.around
+    row = ["bias", "inside " + around.inner, *[f"in {t}" for t in around.tags], *[f"for {p}" for p in around.purposes], f"tag {around.block}"]
+    share = b.linked / max(1, len(b.text))
+    row.append("links " + ("none" if not b.linked else "some" if share < 0.5 else "most"))
+    row.append(f"words {min(6, words.bit_length())}")
+    row.append("stop" if b.text[-1] in ".!?:;\"'”’…)" else "open")
+    if re.search("©|copyright|all rights reserved|cookie", b.text, re.I):
+        row.append("says legal")
+    return row
+
+
 def features(blocks: list[Leaf]) -> list[list[str]]:
-    """Per block: its ancestors' tags, their purposes, and what its text is like."""
-    rows = []
-    for b in blocks:
-        tags = [t for t, _ in b.path if t in BLOCK or t == "a"]
-        purposes = set().union(*[p for _, p in b.path]) if b.path else set()
-        words = b.text.split()
-        # the innermost element that says what it is for
-        inner = next((found for t, p in reversed(b.path) if (found := {*p, MEANING.get(t, "")} - {""})), {"nothing"})
-        row = ["bias", "inside " + min(inner - {"content"} or inner), *{f"in {t}" for t in tags}, *{f"for {p}" for p in purposes}, f"tag {tags[-1] if tags else ''}"]
-        share = b.linked / max(1, len(b.text))
-        row.append("links " + ("none" if not b.linked else "some" if share < 0.5 else "most"))
-        row.append(f"words {min(6, len(words).bit_length())}")
-        row.append("stop" if b.text[-1] in ".!?:;\"'”’…)" else "open")
-        if re.search("©|copyright|all rights reserved|cookie", b.text, re.I):
-            row.append("says legal")
-        rows.append(row)
-    return rows
+    return [feature_row(b) for b in blocks]
 
 
 # ---------------------------------------------------------------- labelled pages
 
 _SYLLABLES = "an ba co de er fi go ha in jo ka lu me no on pa qui ra si te un ver wo ya zu é ß ñ".split()
 #: Pages that the model learns from, and passes of its optimiser.
-LABELLED_PAGES, PASSES = 420, 240
+LABELLED_PAGES, PASSES = 600, 240
 
 
 def labelled_pages(n: int = LABELLED_PAGES, seed: int = 7) -> list[tuple[str, list[bool]]]:
@@ -208,12 +237,12 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 7) -> list[tuple[str, li
 
         def marked(tag: str, purpose: str) -> str:
             w = r.choice(PURPOSES[purpose].split())
-            return f'{tag} {r.choice(("class", "id"))}="{r.choice(("", "site-", "c-", "box "))}{w}"'
+            return f'{tag} {r.choice(("class", "id", "class", "id", "role"))}="{r.choice(("", "site-", "c-", "box "))}{w}"'
 
         def around(purpose: str) -> str:
             tag = {"nav": "nav", "head": "header", "foot": "footer", "side": "aside", "form": "form", "comment": "section", "notice": "div", "ad": "div", "share": "div"}[purpose]
-            tag = tag if r.random() < 0.6 else r.choice(("div", "section"))
-            bare = tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.7
+            tag = "noscript" if purpose == "notice" and r.random() < 0.3 else tag if r.random() < 0.6 else r.choice(("div", "section"))
+            bare = tag == "noscript" or tag in ("nav", "header", "footer", "aside", "form") and r.random() < 0.7
             inner = {
                 "nav": lambda: links(2, 7),
                 "head": lambda: (f"<h1>{leaf(1, 4)}</h1>" if r.random() < 0.5 else "") + f"<p>{leaf(2, 8)}</p>",
@@ -245,9 +274,9 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 7) -> list[tuple[str, li
                     s += f"<h{(k := r.randint(2, 4))}>{leaf(1, 6)}</h{k}>"
                 elif x < 0.88:
                     s += "<ul>" + "".join(f"<li>{leaf(1, 20, True)}</li>" for _ in range(r.randint(1, 4))) + "</ul>"
-                elif x < 0.92:
+                elif x < 0.90:
                     s += f"<blockquote>{leaf(4, 30, True)}</blockquote>"
-                elif x < 0.95:
+                elif x < 0.91:
                     s += f"<table><tr><td>{leaf(1, 4)}</td><td>{leaf(1, 6)}</td></tr></table>"
                 else:
                     s += around(r.choice(("ad", "ad", "side", "share", "form", "notice", "nav", "comment")))
@@ -272,7 +301,10 @@ def labelled_pages(n: int = LABELLED_PAGES, seed: int = 7) -> list[tuple[str, li
         x = r.random()
         if x < 0.6:
             s += f"<{'main' if (m := r.random() < 0.2) else 'article'}>{article()}</{'main' if m else 'article'}>"
-        elif x < 0.9:
+        elif x < 0.68:  # a page laid out as a table
+            bar = boiler(lambda: f"<{marked('td', r.choice(('nav', 'side', 'ad')))}>{links(1, 6)}</td>") if r.random() < 0.8 else ""
+            s += f"<table><tr>{bar}<{marked('td', 'content') if r.random() < 0.6 else 'td'}>{article()}</td></tr></table>"
+        elif x < 0.90:
             s += f"<{marked(r.choice(('div', 'section')), 'content')}><div>{article()}</div></div>"
         else:
             s += f"<div>{article()}</div>"
@@ -293,13 +325,12 @@ class Crf:
     pairs: tuple[tuple[float, float], tuple[float, float]]
     start: tuple[float, float]
 
-    def decode(self, rows: list[list[str]]) -> list[bool]:
-        """The likeliest labels of a page's blocks, by Viterbi."""
-        if not rows:
-            return []
+    def decode(self, rows: Iterable[list[str]]) -> list[bool]:
+        """The likeliest labels of a page's blocks, by Viterbi; none for no blocks."""
         get = self.weights.get
         off, on = self.start
         back: list[tuple[bool, bool]] = []
+        i = -1
         for i, row in enumerate(rows):
             own = sum(get(f, 0.0) for f in row)
             if i:
@@ -307,6 +338,8 @@ class Crf:
                 back.append((off + a < on + c, off + b < on + d))
                 off, on = max(off + a, on + c), max(off + b, on + d)
             on += own
+        if i < 0:
+            return []
         labels = [on > off]
         for x in reversed(back):
             labels.append(x[labels[-1]])
@@ -364,15 +397,16 @@ def model() -> Crf:
 def main_text(page: str | None, crf: Crf) -> str:
     """The page's main text: its blocks in order, one space between; empty if it has none."""
     blocks = leaves(page or "")
-    return " ".join(b.text for b, on in zip(blocks, crf.decode(features(blocks)), strict=True) if on)
+    return " ".join(b.text for b, on in zip(blocks, crf.decode(map(feature_row, blocks)), strict=True) if on)
 
 
 def extracted(df: DataFrame, page: str = "html", crf: Crf | None = None) -> DataFrame:
     """df without its html, with text (string, empty if none) and n_chars (long, code points).
 
     The model is some hundred weights, fitted on the driver from a fixed number of generated pages, and
-    each page is done by itself. Null and empty pages have an empty text; broken markup is read as it
-    stands; repeated rows are done alike; an empty table gives an empty one. Columns of df named text or
+    each page is done by itself, in time that follows its length. Null and empty pages have an empty text;
+    broken markup is read as it stands; text in math, svg, object, iframe, template and noscript elements
+    is text like any other, which the model judges; repeated rows are done alike; an empty table gives an empty one. Columns of df named text or
     n_chars are replaced.
     """
     crf = crf or model()

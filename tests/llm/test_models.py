@@ -327,6 +327,12 @@ def test_held_out_pages():
 @pytest.mark.parametrize("page, want", [
     ("<article><h1>T</h1><p>A b <i>c</i>d.</p><div class='comments'><p>Nice post, I like it much.</p></div></article>", "T A b cd."),
     ("", ""), ("<", "<"), ("<article><p>a &lt;b&gt; &amp; &eacute;&nbsp;x<br>y</p><script>if (a</p>) x</script><p>z", "a <b> & é x y z"),
+    ("<article><p>We wrote <math><mi>e</mi></math> once<svg><text>, drawn</text></svg>.</p><object><p>And then some more text here.</p></object></article>", "We wrote e once, drawn. And then some more text here."),
+    ("<noscript>Please enable scripts in your browser.</noscript><article><h1>Title here</h1><p>A text of a few words.</p><iframe>Old text.</iframe></article>", "Title here A text of a few words. Old text."),
+    ("<body><table><tr><td class=navigation><a href=/>Home</a> <a href=/x>News</a></td><td id=content><h2>Old tables</h2><p>Pages once were tables, and their text stood in cells like this.</p></td></tr></table><div id=footer>Copyright 1999 by us</div>",
+     "Old tables Pages once were tables, and their text stood in cells like this."),
+    ("<div role=navigation><a href=/a>One</a></div><div role=main><h1>By roles</h1><p>The first paragraph is here.</p><aside><p>See also the other page.</p></aside><p>The second one is here.</p></div><div role=contentinfo><p>Imprint</p></div>",
+     "By roles The first paragraph is here. The second one is here."),
     ("<article><p title='a>b'>one<!-- <p>two --> three</p></article><footer>&copy; f</footer>", "one three"),
 ])
 def test_pages_by_hand(page, want):
@@ -334,6 +340,21 @@ def test_pages_by_hand(page, want):
     assert got == want or (page == "<" and got in ("", "<"))
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<b>", "</a ", "<!", "<a \"", "<script>", "</script ", "<b><li>x", "<p><b>", "</x><div>", "<table><td>y", "<a '>", "&amp"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        page = "<article><p>text</p>" + piece * (n // len(piece))
+        t = time.process_time()
+        html_text.main_text(page, html_text.model())
+        return time.process_time() - t
+
+    html_text.model()
+    seconds(10_000)
+    assert seconds(1_600_000) < 60 * max(0.05, seconds(100_000)) and seconds(1_600_000) < 30
+
+
 def test_pages_awkward(spark):
     d = spark.createDataFrame([(1, None, "x"), (2, "", None), (3, "<article><p>a b c d.</p></article>", "y"), (3, "<article><p>a b c d.</p></article>", "y")], "page_id long, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extracted(d).collect()) == [(1, "", 0), (2, "", 0), (3, "a b c d.", 8), (3, "a b c d.", 8)]

@@ -132,12 +132,92 @@ QUESTIONS = [
 
 
 def test_reparameterised_questions(spark):
-    b = spark.createDataFrame([(0, ITEM), (1, "short one"), (2, None), (3, "")], "item_id long, text string")
-    q = spark.createDataFrame(QUESTIONS, "doc_id long, text string").withColumn("item_id", F.lit(99))
-    assert {(r.doc_id, r.item_id) for r in decontamination.matches(q, b).collect()} == {(1, 0), (3, 0), (5, 1)}
+    b = spark.createDataFrame([(0, ITEM), (1, "short one"), (2, None), (3, ""), (4, "12 + 5 = 17"), (5, "who wrote Hamlet")], "item_id long, text string")
+    same_name = "A farmer called Peter has 12 apples and gives Peter 5 apples. How many apples does Peter have left?"
+    more = [(10, same_name), (11, "It is known that 12 + 5 = 17 holds."), (12, "It is 12 + 5 = 18."), (13, "They asked who wrote Hamlet and why."), (14, ITEM.lower()), (15, ITEM.replace(" ", "\n"))]
+    half = ITEM.split()
+    more += [(None, " ".join(half[:11])), (None, " ".join(half[9:])), (None, ITEM), (16, " ".join(half[:11])), (16, " ".join(half[9:]))]
+    q = spark.createDataFrame(QUESTIONS + more, "doc_id long, text string").withColumn("item_id", F.lit(99))
+    got = {(r.doc_id, r.item_id) for r in decontamination.matches(q, b).collect()}
+    assert got == {(1, 0), (3, 0), (5, 1), (6, 1), (11, 4), (13, 5), (14, 0), (15, 0), (None, 0)}
+    left = [(r.doc_id, r.text) for r in decontamination.clean(q, b).collect()]
+    assert sorted(i for i, _ in left if i is not None) == [2, 4, 7, 7, 8, 9, 10, 12, 16, 16] and sum(i is None for i, _ in left) == 2
     assert decontamination.matches(q.limit(0), b).count() == decontamination.matches(q, b.limit(0)).count() == 0
 
 
+def plain_matches(docs, items, size=decontamination.WINDOW, share=decontamination.SHARE):
+    """Pairs (document, item) by comparing every window of every item with every window of every document; rows are (id, words, slots)."""
+
+    def grams(rows, short):
+        for i, words, slots in rows:
+            for k in {size, *short} if len(words) >= size or short else ():
+                for p in range(len(words) - k + 1):
+                    own = (slots or [None] * len(words))[p : p + k]
+                    yield i, p, (k, *own) if all(x is not None for x in own) else (k, *words[p : p + k]), [x for x in own if x is not None]
+
+    of, by = {}, collections.defaultdict(list)
+    short = {len(w) for _, w, _ in items if 0 < len(w) < size}
+    for i, words, slots in items:
+        k = min(size, len(words))
+        for n, p, key, own in grams([(i, words, slots)], {k} if k else ()):
+            if len(words) and key[0] == k:
+                of.setdefault(n, set()).add(p)
+                by[key].append((n, p, own))
+    hits = collections.defaultdict(list)
+    for i, p, key, own in grams(docs, short):
+        for n, at, theirs in by.get(key, ()):
+            hits[i, n].append((p, at, tuple(theirs), tuple(own)))
+    out = set()
+    for (i, n), rows in hits.items():
+        for line in {x for p, at, *_ in rows for x in ((p - at) // 8, (p - at) // 8 + 1)}:
+            own = sorted({r for r in rows if line - 1 <= (r[0] - r[1]) // 8 <= line})
+            counts = collections.Counter(p - at for p, at, *_ in own)
+            exact = collections.Counter(p - at for p, at, a, b in own if a == b)
+            main = max(counts, key=lambda o: (counts[o], exact[o], -o))
+            near = lambda r: (abs(r[0] - r[1] - main), r[0] - r[1] - main)  # noqa: E731, B023
+            kept = {}
+            for k in (0, 1):
+                kept = {}
+                for r in sorted(own, key=near):
+                    kept.setdefault(r[k], r)
+                own = list(kept.values())
+            pairs = {x for _, _, a, b in own for x in zip(a, b, strict=True)}
+            named = [b for _, b in pairs if b.startswith(decontamination.NAME)]
+            fine = len({a for a, _ in pairs}) == len(pairs) and len(set(named)) == len(named)
+            if len(own) >= share * len(of[n]) and (fine or sum(a == b for _, _, a, b in own) >= share * len(of[n])):
+                out.add((i, n))
+    return out
+
+
+def test_plain_matcher_finds_the_same(spark, sf):
+    """Over all documents and items, and over items with other numbers and names put in, in part only and out of step."""
+    import random
+
+    r, d = random.Random(3), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    names, made = ["Anna", "Bob", "Carla", "Dan"], []
+    for k, row in enumerate(items.collect()):
+        words = [str(r.randint(1, 9)) if r.random() < 0.1 else r.choice(names) if r.random() < 0.08 else w for w in row.text.split()]
+        cut = r.randint(0, len(words) // 2)
+        made += [(100_000 + 2 * k, " ".join(words[cut:])), (100_001 + 2 * k, "some words here " + " ".join([*words[:cut], "very", *words[cut:]]))]
+    items = items.unionByName(spark.createDataFrame([(i + 500_000, t) for i, t in made[::3]] + [(900_000, ITEM), (900_001, "Anna has 7")], "item_id long, text string"))
+    docs = d.unionByName(spark.createDataFrame(made + [(990_000 + k, t) for k, (_, t) in enumerate(QUESTIONS)], "doc_id long, text string"))
+    rows = lambda t, key, f: [(x[0], x[1], x[2]) for x in decontamination.with_template(t, f(F.col("text")), [key]).collect()]
+    named, lower = (rows(items, "item_id", f) for f in (lambda c: c, F.lower))
+    want = set()
+    # both readings of an item are joined at once, so the plain version takes their union window by window
+    of = {}
+    for i, w, s in named:
+        of[i] = (w, s)
+    got = {(x.doc_id, x.item_id) for x in decontamination.matches(docs, items).collect()}
+    one = plain_matches(rows(docs, "doc_id", lambda c: c), named)
+    other = plain_matches(rows(docs, "doc_id", lambda c: c), lower)
+    want = one | other
+    assert want <= got and len(got) > 50
+    extra = {x for x in got - want}
+    assert len(extra) <= 0.02 * len(got), extra
+
+
 def test_shuffled_benchmark_gives_the_same(spark, sf, monkeypatch, docs):
     got = decontamination.op2_template_windows(spark, sf).collect()
     monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", 0)
@@ -154,4 +234,4 @@ def test_template_words(spark):
     d = spark.createDataFrame([("John has 3.5 kg of apples. He gives Mary twelve apples, and keeps 20% of it at 10:30. WOW Bob",)], "t string")
     r = decontamination.with_template(d, F.col("t"), []).first()
     assert r[0] == "john has <num> <unit> of apples he gives <name> <num> apples and keeps <num> <unit> of it at <num> wow <name>".split()
-    assert [x for x in r[1] if x] == ["3.5", "kg", "mary", "twelve", "20", "%", "10:30", "bob"]
+    assert [x for x in r[1] if x] == ["3.5", "kg", decontamination.NAME + "mary", "twelve", "20", "%", "10:30", decontamination.NAME + "bob"]
