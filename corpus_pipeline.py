@@ -20,14 +20,20 @@ def near_duplicates(spark, docs, sf_dir):
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Drops the documents that hold an item of the benchmark."""
-    found = decontamination.matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = written(found.select("doc_id").distinct(), "contaminated")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents whose text holds an item of the benchmark.
+
+    Rows are told apart by id and text, so one without an id goes only if its own text is found. Null and
+    empty texts stay; repeated rows stay or go alike; an empty table gives an empty one.
+    """
+    return decontamination.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 
 def pack(spark, docs, sf_dir):
-    """Packs all that is left into sequences of at most 2048 tokens; one row per piece."""
+    """Packs all that is left into sequences of at most 2048 tokens; one row per piece.
+
+    Null and empty texts are one token, repeated rows and rows without an id are packed each, and an
+    empty table gives an empty one; other columns are not read.
+    """
     return packing.packing_table(docs)
 
 
