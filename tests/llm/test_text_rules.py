@@ -60,6 +60,38 @@ def test_licences(spark, sf, docs, awkward):
     assert licenses.scanned(awkward().limit(0)).count() == 0
 
 
+def plain_licences(text, index):
+    """Labels and score by comparing every template's phrase with every place."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
+    labels, score = set(), 0.0
+    for label, ws, start, phrase, is_base in index.templates:
+        for at in range(len(w) - len(phrase) + 1):
+            if w[at : at + len(phrase)] == phrase:
+                labels.add(label)
+                zero = at - start
+                own = sum(index.idf[x] for j, x in enumerate(ws) if 0 <= zero + j < len(w) and w[zero + j] == x) / sum(index.idf[x] for x in ws)
+                score = max(score, 0.5 if is_base else min(1.0, own))
+    return ",".join(sorted(labels)), score
+
+
+def test_licence_labels_against_every_place(spark, docs):
+    """Over all documents, and over notices whole, cut, with a word put in, and repeated with overlaps."""
+    import random
+
+    r, index = random.Random(1), licenses.Index()
+    made = []
+    for _, ws, *_ in index.templates:
+        cut, k = r.randint(0, len(ws) // 2), r.randint(0, len(ws))
+        made += [" ".join(ws), " ".join(ws[cut:]), " ".join(ws[: len(ws) - cut]), " ".join([*ws[:k], "word", *ws[k:]]), "cc " + " ".join(ws + ws)]
+    made += ["cc by " * 5000, "cc cc by nc by nc 4 0 cc by sa", None, ""]
+    rows = docs + [(10_000_000 + k, t) for k, t in enumerate(made)]
+    got = {x.doc_id: (x.labels, x.score) for x in licenses.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == len(rows)
+    for i, t in rows:
+        labels, score = plain_licences(t, index)
+        assert got[i][0] == labels and got[i][1] == pytest.approx(score), (i, t[:100] if t else t)
+
+
 @pytest.mark.parametrize("text, labels, score", [
     ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc", 1.0), ("Released under the MIT License", "mit", 1.0), ("mit license cc by cc by", "cc-by,mit", None),
     ("Apache licence version 2.0", "", 0.0), ("All Rights\nReserved", "reserved", 0.5), ("version 2 0", "", 0.0), ("by nc 4 0 cc", "", 0.0),
