@@ -31,7 +31,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         o = table(spark, sf_dir, "orders").select(F.lit(0).alias("part"), F.col("o_orderkey").alias("k0"), *[F.lit(None).cast(t).alias(f"k{i}") for i, t in enumerate(("int", "bigint", "bigint", "timestamp", "double"), 1)], F.concat(F.lit("C"), "o_custkey").alias("src"), F.concat(F.lit("O"), "o_orderkey").alias("dst"), F.lit(0.0).alias("w"))
         li = table(spark, sf_dir, "lineitem").select(F.lit(1).alias("part"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(LINE_KEY)], F.concat(F.lit("O"), "l_orderkey").alias("src"), F.concat(F.lit("P"), "l_partkey").alias("dst"), F.col("l_quantity").alias("w"))
         both = o.unionByName(li.select(o.columns))
-        _built[key] = materialized(numbered(both, ["part", *[f"k{i}" for i in range(6)]], "eid").select("eid", "src", "dst", "w"), "graph")
+        _built[key] = numbered(both, ["part", *[f"k{i}" for i in range(6)]], "eid", keep=["src", "dst", "w"]).select("eid", "src", "dst", "w")
     return _built[key]
 
 

@@ -193,8 +193,7 @@ def _learned(name, **options):
         s = materialized(predictors.stream(codecs.adjacency_symbols(graph.adjacency(dense(spark, sf)[1]))), "symbols")
         predict = predictors.fit(predictors.windows(s), name, **options)
         c = predictors.corrections(s, predict)
-        back = predictors.restored(c, s.groupBy("seg").agg(F.count(F.lit(1)).alias("n")), predict)
-        return codecs.symbols_adjacency(predictors.records_of(back))
+        return codecs.symbols_adjacency(predictors.restored_records(c, s.groupBy("seg").agg(F.count(F.lit(1)).alias("n")), predict))
 
     return run
 

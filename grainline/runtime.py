@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Temporary folders of local sessions whose spark.checkpoint.dir is unset, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, the folder that all executors share; a temporary one only where it is unset."""
+    """spark.checkpoint.dir, the folder that all executors share; where it is unset, a temporary one on a local master, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = tempfile.mkdtemp(prefix="grainline-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = _local.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="grainline-")
+        _local[spark.sparkContext.applicationId] = found
     return found.rstrip("/")
 
 
@@ -25,14 +31,15 @@ def materialized(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: list[str | Column], out: str, start: int = 0) -> DataFrame:
+def numbered(df: DataFrame, order: list[str | Column], out: str, start: int = 0, keep: list[str] | None = None) -> DataFrame:
     """df with out (bigint): each row's place in the total order, from start.
 
     Rows are range-partitioned and sorted, written with their place in their partition, and partitions'
-    counts, one row each, are summed and broadcast. No task ever sorts the whole table.
+    counts, one row each, are summed and broadcast. No task ever sorts the whole table. With keep, only
+    those columns are written and stay.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    d = df.repartitionByRange(*cols).sortWithinPartitions(*cols).withColumn("_at", F.monotonically_increasing_id())
+    d = df.repartitionByRange(*cols).sortWithinPartitions(*cols).select(*(keep or df.columns), F.monotonically_increasing_id().alias("_at"))
     d = d.withColumn("_part", F.shiftright("_at", 33)).withColumn("_at", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
     d = materialized(d, "numbered")
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -69,14 +69,26 @@ def test_symbols_by_hand(spark):
 @pytest.mark.parametrize("name", sorted(predictors.MODELS))
 @pytest.mark.parametrize("length", [1, 9, 10, 11, 1024, 1029, 2100])
 def test_corrections_restore_any_length(spark, name, length):
-    if length < 100 and name != "order_k":
-        pytest.skip("too little to learn from")
     r = random.Random(length)
     rows = [(p // 1024, p, 12 if p == length - 1 else r.choice([0, 1, 10])) for p in range(length)]
     s = spark.createDataFrame(rows, "seg long, pos long, sym byte")
     predict = predictors.fit(predictors.windows(s), name)
-    back = predictors.restored(predictors.corrections(s, predict), s.groupBy("seg").agg(F.count(F.lit(1)).alias("n")), predict)
-    assert sorted((x.seg, x.pos, x.sym) for x in back.collect()) == rows
+    predict = predictors.model_of(predictors.model_table(spark, predict))
+    table, lengths = predictors.corrections(s, predict), s.groupBy("seg").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted((x.seg, x.pos, x.sym) for x in predictors.restored(table, lengths, predict).collect()) == rows
+
+
+@pytest.mark.parametrize("long", [False, True])
+def test_records_are_cut_as_restored(spark, long):
+    """Records of a few symbols, and of several segments."""
+    r = random.Random(8)
+    symbols = [11 if r.random() < (0.0003 if long else 0.1) else r.randrange(11) for _ in range(9000)] + [12]
+    s = spark.createDataFrame([(p // 1024, p, x) for p, x in enumerate(symbols)], "seg long, pos long, sym byte")
+    predict = predictors.fit(predictors.windows(s), "order_k")
+    got = predictors.restored_records(predictors.corrections(s, predict), s.groupBy("seg").agg(F.count(F.lit(1)).alias("n")), predict)
+    want = predictors.records_of(s)
+    assert sorted(x.symbols for x in got.collect()) == sorted(x.symbols for x in want.collect())
+    assert sum(len(x.symbols) for x in got.collect()) == 9001
 
 
 def test_unknown_names_raise(spark):
