@@ -198,15 +198,9 @@ _tree("nearest_tree_roundtrip", lambda d: trees.neighbour_tree(d))
 _tree("bucketed_tree_roundtrip", lambda d: trees.neighbour_tree(d, exact=False))
 
 
-@query("SELECT doc_id AS pos, coalesce(text, '') AS line FROM documents WHERE length(text) < 500")
-def text_tree_roundtrip(spark, sf):
-    d = table(spark, sf, "documents").where("length(text) < 500").select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("line"))
-    return trees.decoded(trees.attribute_tree(d, "word_bag", 4))
-
-
 @query("SELECT doc_id AS pos, coalesce(text, '') AS line FROM documents")
-def text_tree_whole(spark, sf):
-    """The whole text of every document through the text tree; text_tree_roundtrip, like its SQL, takes texts under 500 characters."""
+def text_tree_roundtrip(spark, sf):
+    """The whole text of every document through the text tree."""
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), F.coalesce("text", F.lit("")).alias("line"))
     return trees.decoded(trees.attribute_tree(d, "word_bag", 4, chunk_rows=256))
 
@@ -217,15 +211,9 @@ def attr_tree_invariants(spark, sf):
     return t.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("child").alias("children"), F.coalesce(F.sum(F.when(F.abs(F.col("child") - F.col("parent")) > trees.REACH, 1)), F.lit(0)).alias("far"))
 
 
-@query(f"SELECT pos, line FROM ({_LINES}) WHERE pos % 50 = 7")
-def attr_tree_lookup(spark, sf):
-    t = materialized(trees.attribute_tree(_lines(spark, sf), "word_bag", 4), "tree")
-    return trees.lookup(t, _lines(spark, sf).where("pos % 50 = 7").select("pos"))
-
-
 @query(_LINES)
-def attr_tree_lookup_all(spark, sf):
-    """Every line looked up; attr_tree_lookup, like its SQL, asks for a fiftieth of them."""
+def attr_tree_lookup(spark, sf):
+    """Every line looked up by its place."""
     t = materialized(trees.attribute_tree(_lines(spark, sf), "word_bag", 4), "tree")
     return trees.lookup(t, _lines(spark, sf).select("pos"))
 

@@ -18,58 +18,33 @@ def _parts(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("P"), "p_partkey").alias("key"), "p_name", "p_brand")
 
 
-def _stored(spark, sf):
-    """The lines of one order in twenty as edges (eid, src, dst, w), and all parts as vertices. The *_whole queries store every edge."""
-    e = edges(spark, sf).where("src LIKE 'O%' AND CAST(substring(src, 2) AS BIGINT) % 20 = 1")
-    return e, _parts(spark, sf)
+def _archived(spark, sf, model="order_k"):
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    store.encode(edges(spark, sf), _parts(spark, sf), path, model=model, edge_columns=("w",), vertex_columns=("p_name", "p_brand"))
+    return path
 
 
 def store_backward(spark, sf):
-    """Orders that hold a part, with the line's quantity, from an encoded archive."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    e, v = _stored(spark, sf)
-    predict = store.encode(e, v, path, edge_columns=("w",), vertex_columns=("p_name", "p_brand"))
-    start = e.agg(F.min_by("dst", "eid")).first()[0]
-    found, _ = store.query(spark, path, predict, [start], 10**6, ("w",), ("p_name", "p_brand"), backward=True)
-    return found.select("eid", F.col("w").cast("double").alias("w"))
+    """Lines that hold a part and the customers' edges to their orders, from an encoded archive of every edge."""
+    start = edges(spark, sf).where("src LIKE 'O%'").agg(F.min_by("dst", "eid")).first()[0]
+    found, _ = store.query(spark, _archived(spark, sf), [start], 10**6, backward=True)
+    return found.select("eid", F.col("dst_key").alias("src"), F.col("src_key").alias("dst"), "w")
 
 
 def store_forward(spark, sf):
-    """Parts of an order by name, from an encoded archive."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    e, v = _stored(spark, sf)
-    predict = store.encode(e, v, path, model="decision_tree", edge_columns=("w",), vertex_columns=("p_name", "p_brand"))
-    start = e.agg(F.min_by("src", "eid")).first()[0]
-    _, nodes = store.query(spark, path, predict, [start], 10**6, ("w",), ("p_name", "p_brand"))
+    """Orders of a customer and their parts by name, from an encoded archive of every edge."""
+    start = edges(spark, sf).agg(F.min_by("src", "eid")).first()[0]
+    _, nodes = store.query(spark, _archived(spark, sf), [start], 10**6)
     return nodes.select("key", "p_name", "p_brand")
 
 
-def store_backward_whole(spark, sf):
-    """Lines that hold a part and the customers' edges to their orders, from an encoded archive of every edge."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    e = edges(spark, sf)
-    predict = store.encode(e, _parts(spark, sf), path, edge_columns=("w",), vertex_columns=("p_name", "p_brand"))
-    start = e.where("src LIKE 'O%'").agg(F.min_by("dst", "eid")).first()[0]
-    found, _ = store.query(spark, path, predict, [start], 10**6, ("w",), ("p_name", "p_brand"), backward=True)
-    return found.select("eid", F.col("w").cast("double").alias("w"))
-
-
-def store_forward_whole(spark, sf):
-    """Orders of a customer and their parts by name, from an encoded archive of every edge."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
-    e = edges(spark, sf)
-    predict = store.encode(e, _parts(spark, sf), path, edge_columns=("w",), vertex_columns=("p_name", "p_brand"))
-    start = e.agg(F.min_by("src", "eid")).first()[0]
-    _, nodes = store.query(spark, path, predict, [start], 10**6, ("w",), ("p_name", "p_brand"))
-    return nodes.select("key", "p_name", "p_brand")
+def store_bytes(spark, sf):
+    """Files and bytes of an archive of every edge, by table and in all."""
+    return store.sizes(spark, _archived(spark, sf))
 
 
-QUERIES["store_backward"], QUERIES["store_forward"] = store_backward, store_forward
-_E = "E AS (SELECT 'O' || l_orderkey AS src, 'P' || l_partkey AS dst, l_quantity AS w, (SELECT count(*) FROM orders) + row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS eid FROM lineitem), S AS (SELECT * FROM E WHERE CAST(substr(src, 2) AS BIGINT) % 20 = 1)"
-SQL["store_backward"] = f"WITH {_E} SELECT eid, w FROM S WHERE dst = (SELECT arg_min(dst, eid) FROM S)"
-SQL["store_forward"] = f"WITH {_E} SELECT DISTINCT dst AS key, p_name, p_brand FROM S JOIN part ON dst = 'P' || p_partkey WHERE src = (SELECT arg_min(src, eid) FROM S)"
-QUERIES["store_backward_whole"], QUERIES["store_forward_whole"] = store_backward_whole, store_forward_whole
-SQL["store_backward_whole"] = f"""WITH {E_SQL}, L AS (SELECT * FROM E WHERE src LIKE 'O%' AND dst = (SELECT arg_min(dst, eid) FROM E WHERE src LIKE 'O%'))
-    SELECT eid, w FROM L UNION ALL SELECT c.eid, c.w FROM L JOIN E c ON c.dst = L.src"""
-SQL["store_forward_whole"] = f"""WITH {E_SQL}, C AS (SELECT dst FROM E WHERE src = (SELECT arg_min(src, eid) FROM E)),
+QUERIES |= {"store_backward": store_backward, "store_forward": store_forward, "store_bytes": store_bytes}
+SQL["store_backward"] = f"""WITH {E_SQL}, L AS (SELECT * FROM E WHERE src LIKE 'O%' AND dst = (SELECT arg_min(dst, eid) FROM E WHERE src LIKE 'O%'))
+    SELECT eid, src, dst, w FROM L UNION ALL SELECT c.eid, c.src, c.dst, c.w FROM L JOIN E c ON c.dst = L.src"""
+SQL["store_forward"] = f"""WITH {E_SQL}, C AS (SELECT dst FROM E WHERE src = (SELECT arg_min(src, eid) FROM E)),
     N AS (SELECT dst AS key FROM C UNION SELECT E.dst FROM C JOIN E ON E.src = C.dst) SELECT key, p_name, p_brand FROM N LEFT JOIN part ON key = 'P' || p_partkey"""

@@ -1,8 +1,9 @@
-"""Queries that take all rows and whole texts where an older one takes a part."""
+"""Queries that take all rows and whole texts."""
 
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from grainline import catalog
 from grainline.functions import editscript
@@ -28,11 +29,11 @@ def test_text_tree_takes_every_document(spark, tmp_path):
     long = "one two three four five " * 5000
     rows = [(1, long), (2, None), (3, ""), (4, "x" * 499), (5, "x" * 500), (6, long[:60_000] + "six" + long[60_000:]), (900, "é" * 3000)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.pos: r.line for r in catalog.QUERIES["text_tree_whole"](spark, str(tmp_path)).collect()}
+    got = {r.pos: r.line for r in catalog.QUERIES["text_tree_roundtrip"](spark, str(tmp_path)).collect()}
     assert got == {i: t or "" for i, t in rows}
 
 
-@pytest.mark.parametrize("name, kinds", [("store_backward_whole", {"C", "O"}), ("store_forward_whole", {"O", "P"})])
+@pytest.mark.parametrize("name, kinds", [("store_backward", {"C", "O"}), ("store_forward", {"O", "P"})])
 def test_store_holds_every_edge(spark, sf, name, kinds, monkeypatch):
     from grainline.plans import store
 
@@ -48,54 +49,34 @@ def test_store_holds_every_edge(spark, sf, name, kinds, monkeypatch):
         assert {r.key[0] for r in rows} == kinds and all((r.p_name is not None) == (r.key[0] == "P") for r in rows)
 
 
-def test_dense_groups_lose_no_near_duplicate(spark):
-    """Texts that share long boilerplate: twins over 0.8, all others under it, and all within reach of one another."""
-    import numpy as np
-
-    from grainline.llm import simhash
-
-    r, rows = random.Random(3), []
-    common = [f"c{r.random()}" for _ in range(404)]
-    for k in range(250):
-        own = [f"w{r.random()}" for _ in range(60)]
-        rows += [(2 * k, " ".join(common + own)), (2 * k + 1, " ".join(common + own[:34] + [f"v{r.random()}" for _ in range(26)]))]
-    sets = [np.unique(simhash.shingle_hashes(t, 5, 42)) for _, t in rows]
-    sizes = np.array([len(x) for x in sets])
-    fps = [simhash.majority(simhash.mixed(np.concatenate(sets), k), sizes) for k in range(6)]
-    up = list(range(len(rows)))
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    near = 0
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.min([np.bitwise_count(f[i] ^ f[i + 1 :]) for f in fps], axis=0) <= 8) + i + 1 if i + 1 < len(rows) else []:
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= 0.8 * (sizes[i] + sizes[j] - both):
-                near += 1
-                a, b = sorted((find(i), find(int(j))))
-                up[b] = a
-    assert near > 200
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {x.doc_id for x in simhash.deduplicated(docs).collect()} == {find(i) for i in range(len(rows))}
-
-
-def test_items_that_list_like_quantities(spark):
-    from grainline.llm import decontamination
-
-    item = "Tom reads {} pages on Monday, {} pages on Tuesday, {} pages on Wednesday. How many pages does {} read in the whole"
-    b = spark.createDataFrame([(0, item.format(5, 7, 9, "he"))], "item_id long, text string")
-    texts = [
-        item.format(5, 7, 9, "he"), "Before it stands more. " + item.format(5, 7, 9, "he") + " and after it.", item.format(15, 27, 39, "he"), item.format(5, 7, 9, "he").replace("Tuesday", "a dull Tuesday"),
-        item.format(5, 7, 9, "he") + " and 11 pages on Friday, 12 pages on Saturday", "On Monday there are 5 pages and on Tuesday 7 pages to be read by all of us.",
-    ]
-    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.share for r in decontamination.matches(d, b).collect()}
-    assert set(got) == {0, 1, 2, 3, 4} and got[0] == got[1] == 1.0
-
-
 def test_every_line_is_looked_up(spark, sf):
     n = spark.read.parquet(f"{sf}/part.parquet").count()
-    assert sorted(r.pos for r in catalog.QUERIES["attr_tree_lookup_all"](spark, sf).collect()) == list(range(n))
+    assert sorted(r.pos for r in catalog.QUERIES["attr_tree_lookup"](spark, sf).collect()) == list(range(n))
+
+
+def test_archive_is_queried_in_another_process(spark, sf, tmp_path):
+    """One process encodes, with each kind of model; another has the archive's path alone and gets typed rows with the keys of their ends."""
+    import subprocess
+    import sys
+
+    from grainline.plans import store
+
+    rows = [(e, f"n{e % 40}", f"n{(e * 7 + 1) % 50}", e / 2, f'x "{e}",\n', None if e % 3 else f"2024-01-{e % 28 + 1:02d}") for e in range(400)]
+    edges = spark.createDataFrame(rows, "eid long, src string, dst string, w double, note string, day string").withColumn("day", F.to_date("day"))
+    vertices = spark.createDataFrame([(k, f"n{k}", k * 10) for k in range(0, 50, 2)], "pos long, key string, age int")
+    store.encode(edges, vertices, str(tmp_path / "a"), model="decision_tree", edge_columns=("w", "note", "day"), vertex_columns=("age",))
+    code = f"""
+import sys; sys.path.insert(0, {sys.path[0]!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+from grainline.plans import store
+found, nodes = store.query(spark, {str(tmp_path / "a")!r}, ["n3"], 30)
+print("ROWS", sorted((r.eid, r.src_key, r.dst_key, r.w, r.note, str(r.day)) for r in found.collect()), sorted((r.key, r.age) if r.age is not None else (r.key,) for r in nodes.collect()), found.schema["w"].dataType.simpleString())
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300)
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
+    found, nodes, kind = eval("[" + out.stdout.partition("ROWS ")[2].strip().replace("] [", "], [").replace("] double", "], 'double'") + "]")
+    by = {e: (s, d, w, n, str(day)) for e, s, d, w, n, day in edges.collect()}
+    assert kind == "double" and len(found) >= 15 and all(by[e] == (s, d, w, n, day) for e, s, d, w, n, day in found)
+    ages = {f"n{k}": k * 10 for k in range(0, 50, 2)}
+    assert {x[0]: x[1] if len(x) > 1 else None for x in nodes} == {d: ages.get(d) for _, _, d, *_ in found}
