@@ -50,6 +50,16 @@ def ungolomb(q: str, r: str, m: int) -> Column:
     return F.expr(f"{q} * {m}L + {r} + 1")
 
 
+def to_binary(n: Column) -> Column:
+    """A non-negative integer's binary digits as text."""
+    return F.bin(n)
+
+
+def from_binary(digits_: Column) -> Column:
+    """The integer of binary digits as text."""
+    return F.conv(digits_, 2, 10).cast("bigint")
+
+
 def adjacency_symbols(adjacency: DataFrame) -> DataFrame:
     """(src, symbols): each source's record of the symbol stream, from (src, out array<struct<dst, eid>>).
 

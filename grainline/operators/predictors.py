@@ -84,12 +84,13 @@ def _constant(arrays: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 
 def _back_off(arrays: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """From the longest context that was seen to shorter ones; table j is of the last j symbols."""
-    out = np.full(len(x), -1, np.int8)
-    for j in sorted((int(k) for k in arrays), reverse=True):
+    """From the longest context that was seen to shorter ones; table j is of the last j symbols of an alphabet of `base`."""
+    base = int(arrays["base"][0])
+    out = np.full(len(x), -1, arrays["0"].dtype)
+    for j in sorted((int(k) for k in arrays if k != "base"), reverse=True):
         at = np.zeros(len(x), np.int64)
         for c in range(x.shape[1] - j, x.shape[1]):
-            at = at * SYMBOLS + x[:, c]
+            at = at * base + x[:, c]
         out = np.where(out < 0, arrays[str(j)][at], out)
     return np.maximum(out, 0)
 
@@ -134,7 +135,7 @@ def order_k(rows: DataFrame, k: int = 4, context: int = CONTEXT) -> Model:
     counts = np.zeros(SYMBOLS ** (k + 1), np.int64)
     for r in rows.groupBy(code.alias("at")).agg(F.count(F.lit(1)).alias("n")).collect():
         counts[r["at"]] = r["n"]
-    tables = {}
+    tables = {"base": np.array([SYMBOLS], np.int64)}
     for j in range(k + 1):
         own = counts.reshape(SYMBOLS ** (k - j), SYMBOLS**j, SYMBOLS).sum(0)
         tables[str(j)] = np.where(own.sum(1) > 0, own.argmax(1), -1).astype(np.int8)

@@ -21,10 +21,25 @@ def neighbours(df: DataFrame, w: int, value: str, pos: str = "pos", chunk_rows:
     return d.select("i", "n.p", "a", "n.b").where("p IS NOT NULL")
 
 
-def char_counts(text: Column, bins: int = 256) -> Column:
-    """Counts of characters by code point less 32, others in the first or last bin; array<int>."""
-    codes = F.transform(F.split(text, ""), lambda c: F.least(F.greatest(F.ascii(c) - 32, F.lit(0)), F.lit(bins - 1)))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.size(F.filter(codes, lambda c: c == b)))
+def neighbour_view(df: DataFrame, w: int, value: str, pos: str = "pos", chunk_rows: int = 4096) -> DataFrame:
+    """(i, view): of each row the values of the w rows before it, its own and of the w after it, 0 beyond the ends. Places are gapless."""
+    d = df.select(F.col(pos).alias("i"), F.col(value).alias("a"))
+    copies = F.array_distinct(F.array(*[F.expr(f"greatest((i + {k}) DIV {chunk_rows}, 0)") for k in (-w, 0, w)]))
+    d = d.withColumn("chunk", F.explode(copies))
+    over = Window.partitionBy("chunk").orderBy("i")
+    view = F.array(*[F.coalesce(F.lag("a", -k).over(over) if k else F.col("a"), F.lit(0)) for k in range(-w, w + 1)])
+    return d.withColumn("view", view).where(F.expr(f"i DIV {chunk_rows} = chunk")).select("i", "view")
+
+
+def _runs(codes: Column, make) -> Column:
+    """make(code, how many) of each run of equal codes of a sorted array, in one pass over where runs start."""
+    starts = F.filter(F.transform(codes, lambda c, i: F.when((i == 0) | (c != F.get(codes, i - 1)), i)), lambda i: i.isNotNull())
+    return F.transform(starts, lambda s, k: make(F.get(codes, s), F.coalesce(F.get(starts, k + 1), F.size(codes)) - s))
+
+
+def _codes(text: Column, bins: int) -> Column:
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.sort_array(F.transform(chars, lambda c: F.least(F.greatest(F.ascii(c) - 32, F.lit(0)), F.lit(bins - 1)).cast("bigint")))
 
 
 def char_histogram(df: DataFrame, text: str, pos: str = "pos") -> DataFrame:
@@ -47,14 +62,16 @@ def unit(a: Column) -> Column:
 
 
 def char_bag(text: Column, bins: int = 256) -> Column:
-    """The text's character bins as a set: the n-th of a bin's characters is a member of its own."""
-    codes = F.sort_array(F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.least(F.greatest(F.ascii(c) - 32, F.lit(0)), F.lit(bins - 1)).cast("bigint")))
-    return F.transform(codes, lambda c, i: (i + 1 - F.array_position(codes, c)) * bins + c)
+    """The text's character bins with their counts, each as one number count * bins + bin; time is n log n in the text."""
+    return _runs(_codes(text, bins), lambda c, n: n.cast("bigint") * bins + c)
 
 
-def bag_l1(a: Column, b: Column) -> Column:
-    """The L1 distance of two bags' counts: what is in one of them only."""
-    return (F.size(a) + F.size(b) - 2 * F.size(F.array_intersect(a, b))).cast("double")
+def bag_l1(a: Column, b: Column, bins: int = 256) -> Column:
+    """The L1 distance of two bags' counts. Bags have a number per bin at most."""
+    one = F.map_from_entries(F.transform(a, lambda x: F.struct(x % bins, F.expr("1L") * F.floor(x / bins))))
+    other = F.map_from_entries(F.transform(b, lambda x: F.struct(x % bins, F.expr("1L") * F.floor(x / bins))))
+    both = F.map_zip_with(one, other, lambda _, x, y: F.abs(F.coalesce(x, F.lit(0)) - F.coalesce(y, F.lit(0))))
+    return F.aggregate(F.map_values(both), F.lit(0).cast("bigint"), lambda s, x: s + x).cast("double")
 
 
 DISTANCES = {
@@ -78,12 +95,14 @@ def window_distances(df: DataFrame, w: int, value: str, method: str, pos: str =
     return out if within is None else out.where(F.col("d") <= within)
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", blocks: int = 16) -> DataFrame:
+def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", key: str = "vec_id", block_rows: int = 4096) -> DataFrame:
     """(q, p, rank, d): the k nearest points of each query by Euclidean distance, ties to the smaller key.
 
     A stated query set against all points: queries go to every block of points, each block keeps its own
-    best k, and only those meet again. A query is not its own neighbour.
+    best k, and only those meet again. A query is not its own neighbour. Blocks have some block_rows points,
+    so a task's work doesn't grow with the table.
     """
+    blocks = max(16, -(-points.count() // block_rows))
     q = queries.select(F.col(key).alias("q"), F.col(vector).alias("a"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     p = points.select(F.col(key).alias("p"), F.col(vector).alias("b"), F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"))
     diff = F.zip_with("a", "b", lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -95,8 +114,8 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedd
 
 
 def hashed_vectors(df: DataFrame, text: str, features: int = 64, n: int = 3) -> DataFrame:
-    """df with `vec`: unit vectors of hashed character n-grams, in place of a sentence encoder."""
-    grams = F.expr(f"transform(sequence(0, greatest(length({text}) - {n}, 0)), i -> CAST(pmod(xxhash64(substring({text}, i + 1, {n})), {features}) AS INT))")
-    d = df.withColumn("_g", grams)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda b: F.size(F.filter("_g", lambda g: g == b)).cast("double"))
-    return d.withColumn("_c", counts).withColumn("vec", unit(F.col("_c"))).drop("_g", "_c")
+    """df with `vec`: unit vectors of hashed character n-grams, in place of a sentence encoder. Texts are read once, sorted by feature."""
+    grams = F.expr(f"sort_array(transform(sequence(0, greatest(length({text}) - {n}, 0)), i -> CAST(pmod(xxhash64(substring({text}, i + 1, {n})), {features}) AS INT)))")
+    d = df.withColumn("_g", grams).withColumn("_m", F.map_from_entries(_runs(F.col("_g"), lambda c, k: F.struct(c, k))))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda b: F.coalesce(F.element_at("_m", b), F.lit(0)).cast("double"))
+    return d.withColumn("_c", counts).withColumn("vec", unit(F.col("_c"))).drop("_g", "_m", "_c")

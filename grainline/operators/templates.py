@@ -44,6 +44,18 @@ def split_number(c: Column) -> tuple[Column, Column]:
     return parts[0], F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit(""))
 
 
+def part_minima(df: DataFrame, column: str) -> DataFrame:
+    """(part, least): the least whole and the least fractional digits of a column's numbers, compared as text, as integers."""
+    whole, fraction = split_number(F.col(column))
+    d = df.agg(F.min(whole).alias("whole"), F.min(fraction).alias("fraction"))
+    return d.select(F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).cast("bigint").alias("least")) for p in ("whole", "fraction")])).alias("p")).select("p.part", "p.least")
+
+
+def renamed_key(template_: Column, old: str, new: str) -> Column:
+    """A template with one key renamed; other keys that hold its name stay."""
+    return F.array_join(F.transform(F.split(template_, ","), lambda k: F.when(k == old, F.lit(new)).otherwise(k)), ",")
+
+
 def whole_number(c: Column) -> Column:
     """A double's text, without .0 where it is whole."""
     return F.when(c == F.floor(c), F.floor(c).cast("bigint").cast("string")).otherwise(c.cast("string"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from grainline.functions import editscript
 from grainline.operators.similarity import hashed_vectors
+from grainline.runtime import running
 
 #: Rounds of merging, and the most places between a line and its parent.
 ROUNDS, REACH = 5, 100
@@ -46,6 +48,15 @@ def _edit(lines: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.array([editscript.cost(editscript.script(lines[a], lines[b])) for a, b in zip(i, j, strict=True)], float)
 
 
+def _vectors(lines: list[str], features: int = 64, n: int = 3) -> np.ndarray:
+    """Unit vectors of hashed character n-grams."""
+    out = np.zeros((len(lines), features))
+    for k, line in enumerate(lines):
+        grams = [zlib.crc32(line[i : i + n].encode("utf-8", "surrogatepass")) % features for i in range(max(1, len(line) - n + 1))]
+        out[k] = np.bincount(grams, minlength=features)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
 def windowed(lines: list[str], method: str, w: int, limit: float | None = None, rounds: int = ROUNDS) -> list[int]:
     """Each line's parent, itself for roots, by greedy merging of representatives.
 
@@ -55,7 +66,7 @@ def windowed(lines: list[str], method: str, w: int, limit: float | None = None,
     """
     n = len(lines)
     parent, sets = list(range(n)), Sets(n)
-    values = _counts(lines) if method == "word_bag" else None
+    values = _counts(lines) if method == "word_bag" else _vectors(lines) if method == "vector" else None
     alive = np.arange(n)
     for _ in range(rounds):
         if len(alive) < 2:
@@ -64,7 +75,10 @@ def windowed(lines: list[str], method: str, w: int, limit: float | None = None,
         b = np.concatenate([alive[k:] for k in range(1, w + 1)])
         near = b - a <= REACH
         a, b = a[near], b[near]
-        d = np.abs(values[a] - values[b]).sum(1).astype(float) if values is not None else _edit(lines, a, b)
+        if method == "vector":
+            d = np.round(1 - (values[a] * values[b]).sum(1), 9)
+        else:
+            d = np.abs(values[a] - values[b]).sum(1).astype(float) if values is not None else _edit(lines, a, b)
         if limit is not None:
             a, b, d = a[d <= limit], b[d <= limit], d[d <= limit]
         on = np.zeros(n, bool)
@@ -125,8 +139,8 @@ def encoded(lines: DataFrame, parents: Callable[[pd.DataFrame], list[int]], chun
 
 
 def attribute_tree(lines: DataFrame, method: str = "word_bag", w: int = 4, chunk_rows: int = 4096, limit: float | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """The tree of lines (pos, line) by windowed merging; method word_bag or edit_distance."""
-    if method not in ("word_bag", "edit_distance"):
+    """The tree of lines (pos, line) by windowed merging; method word_bag, edit_distance or vector (cosine of hashed n-grams)."""
+    if method not in ("word_bag", "edit_distance", "vector"):
         raise ValueError(f"unknown method {method!r}")
     return encoded(lines.select("pos", "line"), lambda rows: windowed(rows["line"].fillna("").tolist(), method, w, limit, rounds), chunk_rows)
 
@@ -198,3 +212,15 @@ def closure(tree: DataFrame, hits: DataFrame) -> DataFrame:
 def lookup(tree: DataFrame, hits: DataFrame) -> DataFrame:
     """(pos, line) of hits (pos) alone, decoding nothing that they don't rest on."""
     return decoded(closure(tree, hits)).join(hits.select("pos").distinct(), "pos", "left_semi")
+
+
+def payload_offsets(tree: DataFrame) -> DataFrame:
+    """(child, up, size, start) of a tree's rows by child: how far up the parent is (0 for roots), the payload's bytes, and all bytes before it."""
+    d = tree.select("child", (F.col("child") - F.coalesce("parent", "child")).alias("up"), F.octet_length("payload").cast("bigint").alias("size"))
+    return running(d, ["child"], "size", "start").select("child", "up", "size", "start")
+
+
+def size_account(tree: DataFrame, lines: DataFrame) -> DataFrame:
+    """(lines, edit_bytes, text_bytes): what a tree's scripts take and what the lines (pos, line) themselves do."""
+    t = tree.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0)).alias("edit_bytes"))
+    return t.crossJoin(lines.agg(F.count(F.lit(1)).alias("lines"), F.coalesce(F.sum(F.octet_length(F.coalesce("line", F.lit("")))), F.lit(0)).alias("text_bytes"))).select("lines", "edit_bytes", "text_bytes")

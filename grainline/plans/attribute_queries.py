@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from grainline.functions import editscript
-from grainline.operators import ids, similarity, templates, trees
+from grainline.operators import ids, records, similarity, templates, trees
 from grainline.runtime import materialized, running, shared_dir
 from grainline.sources import logs, tables
 
@@ -97,9 +97,17 @@ def annotation_keys(spark, sf):
     return d.distinct()
 
 
-@query("SELECT 'OBJECT<k: BIGINT>' AS type, count(*) AS n FROM events")
+@query(
+    """WITH j AS (SELECT CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '{"k": "' || event_type || '", "in": {"t": [' || event_id || ']}}' ELSE '{"k": null}' END AS v FROM events),
+    p AS (SELECT unnest(['k', 'in.t[0]']) AS place, v FROM j), t AS (SELECT '$.' || replace(place, '[0]', '[*]') AS path, json_type(v, '$.' || place) AS type FROM p)
+    SELECT path, CASE type WHEN 'UBIGINT' THEN 'BIGINT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'NULL' THEN 'VOID' ELSE type END AS type, count(*) AS n FROM t WHERE type IS NOT NULL GROUP BY ALL"""
+)
 def json_structure(spark, sf):
-    return logs.structure(table(spark, sf, "events").select(F.col("props").alias("value")))
+    """Paths and types of events' properties, where a key holds numbers, texts and nulls."""
+    value = F.when(F.col("event_id") % 3 == 0, F.col("props")).when(
+        F.col("event_id") % 3 == 1, F.to_json(F.struct(F.col("event_type").alias("k"), F.struct(F.array("event_id").alias("t")).alias("in")))
+    ).otherwise(F.lit('{"k": null}'))
+    return logs.structure(table(spark, sf, "events").select(value.alias("value")))
 
 
 @query("SELECT o_custkey AS id, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_totalprice, o_orderkey) FILTER (o_totalprice > 100000) AS price FROM orders GROUP BY 1")
@@ -139,6 +147,15 @@ def win_threshold(spark, sf):
     return similarity.window_distances(_names(spark, sf), 4, "p_name", "edit", within=4.0)
 
 
+@query(
+    f"""WITH {_NAMES}, v AS (SELECT i, length(a) AS v FROM n)
+    SELECT i, concat_ws(',', coalesce(lag(v, 2) OVER w, 0), coalesce(lag(v) OVER w, 0), v, coalesce(lead(v) OVER w, 0), coalesce(lead(v, 2) OVER w, 0)) AS view FROM v WINDOW w AS (ORDER BY i)"""
+)
+def win_padded(spark, sf):
+    d = similarity.neighbour_view(_names(spark, sf).withColumn("v", F.length("p_name")), 2, "v")
+    return d.select("i", F.concat_ws(",", F.transform("view", lambda x: x.cast("string"))).alias("view"))
+
+
 @query(f"WITH {_NAMES} SELECT i AS pos, ascii(c) AS code, count(*) AS n FROM (SELECT i, unnest(string_split(a, '')) AS c FROM n) GROUP BY ALL")
 def char_hist(spark, sf):
     return similarity.char_histogram(_names(spark, sf), "p_name")
@@ -193,6 +210,7 @@ def _tree(name, make):
 
 _tree("attr_tree_roundtrip", lambda d: trees.attribute_tree(d, "word_bag", 4))
 _tree("attr_tree_edit_roundtrip", lambda d: trees.attribute_tree(d, "edit_distance", 2, chunk_rows=512))
+_tree("attr_tree_vector_roundtrip", lambda d: trees.attribute_tree(d, "vector", 4))
 _tree("threshold_tree_roundtrip", lambda d: trees.attribute_tree(d, "word_bag", 4, limit=8, rounds=1))
 _tree("nearest_tree_roundtrip", lambda d: trees.neighbour_tree(d))
 _tree("bucketed_tree_roundtrip", lambda d: trees.neighbour_tree(d, exact=False))
@@ -205,6 +223,20 @@ def text_tree_roundtrip(spark, sf):
     return trees.decoded(trees.attribute_tree(d, "word_bag", 4, chunk_rows=256))
 
 
+_ROOTS = f"l AS (SELECT pos, octet_length(encode(line)) AS b FROM ({_LINES})), r AS (SELECT pos, b + CASE WHEN b < 251 THEN 3 ELSE 7 END AS size FROM l)"
+
+
+@query(f"WITH {_ROOTS} SELECT pos AS child, CAST(0 AS BIGINT) AS up, size, CAST(sum(size) OVER (ORDER BY pos) - size AS BIGINT) AS start FROM r")
+def payload_offsets(spark, sf):
+    """Where each encoded line starts, of a tree of roots alone: an insertion takes its op, place, length and text."""
+    return trees.payload_offsets(materialized(trees.attribute_tree(_lines(spark, sf), "word_bag", 4, limit=-1), "tree"))
+
+
+@query(f"WITH {_ROOTS} SELECT (SELECT count(*) FROM l) AS lines, CAST((SELECT sum(size) FROM r) AS BIGINT) AS edit_bytes, CAST((SELECT sum(b) FROM l) AS BIGINT) AS text_bytes")
+def size_account(spark, sf):
+    return trees.size_account(trees.attribute_tree(_lines(spark, sf), "word_bag", 4, limit=-1), _lines(spark, sf))
+
+
 @query("SELECT count(*) AS rows, count(*) AS children, CAST(0 AS BIGINT) AS far FROM part")
 def attr_tree_invariants(spark, sf):
     t = trees.attribute_tree(_lines(spark, sf), "word_bag", 4)
@@ -280,6 +312,50 @@ def number_parts(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("p")).select("o_orderkey", whole.alias("whole"))
 
 
+@query("SELECT 'whole' AS part, CAST(min(split_part(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '.', 1)) AS BIGINT) AS least FROM orders UNION ALL SELECT 'fraction', CAST(min(split_part(CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR), '.', 2)) AS BIGINT) FROM orders")
+def number_part_minima(spark, sf):
+    return templates.part_minima(table(spark, sf, "orders").select(F.col("o_totalprice").cast("decimal(18,2)").alias("p")), "p")
+
+
+@query(f"SELECT template, array_to_string(list_transform(string_split(template, ','), lambda k: CASE WHEN k = 'quality' THEN 'grade' ELSE k END), ',') AS renamed FROM (SELECT DISTINCT {_T} AS template FROM ({_LABELLED}))")
+def template_rename(spark, sf):
+    return templates.key_templates(_labelled(spark, sf), COLUMNS).select("template", templates.renamed_key(F.col("template"), "quality", "grade").alias("renamed"))
+
+
+# ------------------------------------------------------------------ records as character tokens
+
+_WORDS = "w AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'verteid:' ELSE 'eventid:' END || event_id AS head, event_id, event_type AS f FROM events)"
+_CODES = f"{_WORDS}, c AS (SELECT ch, row_number() OVER (ORDER BY ch) + 1 AS code FROM (SELECT DISTINCT unnest(string_split(head || f, '')) AS ch FROM w))"
+_STREAM = f"{_CODES}, x AS (SELECT event_id, unnest(range(length(head) + length(f) + 3)) AS k, head || chr(0) || f || chr(0) || chr(1) AS t, length(head) AS h FROM w), s AS (SELECT event_id, k, h, CASE substr(t, k + 1, 1) WHEN chr(0) THEN 0 WHEN chr(1) THEN 1 ELSE code END AS sym FROM x LEFT JOIN c ON ch = substr(t, k + 1, 1))"
+
+
+def _event_records(spark, sf):
+    e = table(spark, sf, "events").select(F.when(F.col("event_id") % 2 == 0, "v").otherwise("e").alias("kind"), F.col("event_id").cast("string").alias("id"), F.array("event_type").alias("fields"))
+    codes = records.code_map(records.characters(e.select(F.concat(records.prefix(F.col("kind"), F.col("id")), F.col("fields")[0]).alias("t")), "t"))
+    return records.record_tokens(e, "fields", codes)
+
+
+@query(f"WITH {_STREAM} SELECT CAST(event_id AS VARCHAR) AS id, string_agg(CAST(sym AS VARCHAR), ',' ORDER BY k) AS tokens FROM s GROUP BY event_id")
+def record_tokens(spark, sf):
+    """Events as token streams: the id field with its kind's prefix, then a field, in codes of characters."""
+    return _event_records(spark, sf).select("id", F.concat_ws(",", F.transform("tokens", lambda t: t.cast("string"))).alias("tokens"))
+
+
+@query(f"""WITH {_STREAM}, l AS (SELECT event_id, k - h - 1 AS step, sym AS y, coalesce(lag(sym, 10) OVER o, 0) AS c1, coalesce(lag(sym, 5) OVER o, 0) AS c6, lag(sym) OVER o AS c10 FROM s WINDOW o AS (PARTITION BY event_id ORDER BY k))
+    SELECT CAST(event_id AS VARCHAR) AS id, CAST(step AS INT) AS step, CAST(c1 AS INT) AS c1, CAST(c6 AS INT) AS c6, CAST(c10 AS INT) AS c10, CAST(y AS INT) AS y FROM l WHERE step >= 0""")
+def record_windows(spark, sf):
+    return records.record_windows(_event_records(spark, sf)).select("id", "step", "c1", "c6", "c10", "y")
+
+
+@query(f"SELECT doc_id, lang, CAST(quality AS VARCHAR) AS quality, CAST(toxic AS VARCHAR) AS toxic FROM ({_LABELLED})")
+def record_fetch(spark, sf):
+    """Every document's labels, regenerated token by token from an archive of templates, dictionaries, model and corrections."""
+    path = f"{shared_dir(spark)}/records-{uuid.uuid4().hex}"
+    d = _labelled(spark, sf).select(F.lit("v").alias("kind"), F.col("doc_id").alias("id"), *COLUMNS)
+    records.store(d, COLUMNS, path)
+    return records.fetch(spark, path, d.select("kind", "id")).select(F.col("id").cast("bigint").alias("doc_id"), *COLUMNS)
+
+
 # ------------------------------------------------------------------ tables and archives
 
 
@@ -295,8 +371,8 @@ def csv_roundtrip(spark, sf):
     path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     table(spark, sf, "supplier").select(F.col("s_suppkey").alias("hash"), "s_name").write.option("header", True).csv(path)
     d = tables.csv(spark, path, "hash string, s_name string")
-    key, _ = tables.split_vertices(d.unionByName(d), "toy", "s_name")
-    return ids.keep_first(d, ["hash"], ["s_name"]).join(key, "hash", "left_semi")
+    key, properties = tables.split_vertices(d.unionByName(d).withColumn("own", F.col("hash")), "toy", "s_name")
+    return key.join(properties.select(F.col("own").alias("hash"), "s_name"), "hash")
 
 
 @query("SELECT o_orderkey, coalesce(nullif(o_orderpriority, '1-URGENT'), '') AS priority, '' AS note FROM orders")

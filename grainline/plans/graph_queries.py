@@ -142,12 +142,19 @@ def reach_levels(spark, sf):
     return graph.reach_levels(edges(spark, sf), spark.createDataFrame([(_customer(spark, sf),)], "node string"), 3)
 
 
-@query()
+@query("SELECT seq, src, dst, eid FROM (" + _trace_sql(FIRST_CUSTOMER, FORWARD, 20) + ")")
 def distinct_walk(spark, sf):
     return graph.trace_distinct(edges(spark, sf), _customer(spark, sf), 20)
 
 
-@query()
+@query(
+    f"""WITH {E_SQL}, o AS (SELECT eid, src, dst FROM E WHERE src = ({FIRST_CUSTOMER})),
+    r AS (SELECT eid AS a, 0 AS line, CAST(0 AS DOUBLE) AS w, src, dst, eid FROM o UNION ALL SELECT o.eid, 1, E.w, E.src, E.dst, E.eid FROM o JOIN E ON E.src = o.dst),
+    w AS (SELECT row_number() OVER (ORDER BY a DESC, line, w DESC, eid DESC) - 1 AS seq, * FROM r),
+    n AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY dst ORDER BY seq) = 1 THEN 1 ELSE 0 END AS fresh FROM w),
+    t AS (SELECT *, seq + 1 + sum(fresh) OVER (ORDER BY seq) AS total FROM n)
+    SELECT seq, src, dst, eid FROM t WHERE seq <= coalesce((SELECT min(seq) FROM t WHERE total >= 20), 1000000000)"""
+)
 def best_first(spark, sf):
     return graph.best_first(edges(spark, sf).withColumnRenamed("w", "weight"), _customer(spark, sf), 20)
 
@@ -301,6 +308,37 @@ def golomb_split(spark, sf):
     return d.select("event_id", q.alias("q"), r.alias("r"))
 
 
+@query("SELECT event_id, bin(event_id % 1000003) AS digits, event_id % 1000003 AS n FROM events")
+def binary_digits(spark, sf):
+    d = table(spark, sf, "events").select("event_id", codecs.to_binary(F.col("event_id") % 1000003).alias("digits"))
+    return d.withColumn("n", codecs.from_binary(F.col("digits")))
+
+
+_GLOBAL = """v AS (SELECT 0 AS rank, c_custkey AS pos, 'U' || c_custkey AS key FROM customer UNION ALL SELECT 1, event_id, 'U' || user_id FROM events UNION ALL SELECT 2, event_id, event_type FROM events),
+    g AS (SELECT key, row_number() OVER (ORDER BY f) AS gid FROM (SELECT key, min((rank, pos)) AS f FROM v GROUP BY key))"""
+
+
+def _renumbered(spark, sf):
+    v = table(spark, sf, "customer").select(F.col("c_custkey").alias("pos"), F.concat(F.lit("U"), "c_custkey").alias("id"), "c_name")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("U"), "user_id").alias("subject_id"), F.col("event_type").alias("predicate_id"), F.col("event_type").alias("type"), "value")
+    return ids.renumbered(v, e, ["subject_id", "predicate_id", "type"], ["value"])
+
+
+@query(f"WITH {_GLOBAL} SELECT row_number() OVER (ORDER BY event_id) AS id, s.gid AS subject_id, p.gid AS predicate_id, event_type AS type FROM events JOIN g s ON s.key = 'U' || user_id JOIN g p ON p.key = event_type")
+def renumbered_edges(spark, sf):
+    return _renumbered(spark, sf)["edges"]
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS id, value FROM events")
+def renumbered_other(spark, sf):
+    return _renumbered(spark, sf)["edges_other"]
+
+
+@query(f"WITH {_GLOBAL} SELECT gid AS id, c_name FROM customer JOIN g ON key = 'U' || c_custkey")
+def renumbered_vertices(spark, sf):
+    return _renumbered(spark, sf)["vertices"]
+
+
 @query("SELECT event_id, user_id AS n FROM events")
 def digits_roundtrip(spark, sf):
     return table(spark, sf, "events").select("event_id", codecs.from_digits(codecs.digits(F.col("user_id"))).alias("n"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainline.operators.ids import upsert
 
-#: The prefix of record types in JSON lines, and the suffix key of wrapped ids.
-TYPE_PREFIX, UUID = "com.bbn.tc.schema.avro.cdm20.", '["com.bbn.tc.schema.avro.cdm20.UUID"]'
+#: The prefix of record types in JSON lines, and the keys of wrapped ids and short numbers.
+TYPE_PREFIX = "com.bbn.tc.schema.avro.cdm20."
+WRAPPED = {"U": '["com.bbn.tc.schema.avro.cdm20.UUID"]', "S": '["com.bbn.tc.schema.avro.cdm20.SHORT"]'}
 #: Per record type, output column -> (JSON path below the record, Spark type, default).
-#: `U` ends a path at a wrapped id. A null default leaves the column null where the path is missing.
+#: `U` ends a path at a wrapped id, `S` at a wrapped short number. A null default leaves the column null where the path is missing.
 RECORDS: dict[str, dict[str, tuple[str, str, object]]] = {
     "SrcSinkObject": {
         "id": ("uuid", "string", None), "internalType": ("type", "string", None), "fileDescriptor": ("fileDescriptor.int", "int", 0),
@@ -21,7 +25,7 @@ RECORDS: dict[str, dict[str, tuple[str, str, object]]] = {
         "remoteAddress": ("remoteAddress.string", "string", ""), "remotePort": ("remotePort.int", "int", 0), "ipProtocol": ("ipProtocol.int", "int", 0), "epoch": ("baseObject.epoch.int", "int", 0),
     },
     "FileObject": {
-        "id": ("uuid", "string", ""), "internalType": ("type", "string", ""), "permission": ("baseObject.permission.SHORT", "string", None),
+        "id": ("uuid", "string", ""), "internalType": ("type", "string", ""), "permission": ("baseObject.permission.S", "string", None),
         "epoch": ("baseObject.epoch.int", "int", 0), "path": ("baseObject.properties.map.path", "string", ""),
     },
     "Subject": {
@@ -34,7 +38,7 @@ RECORDS: dict[str, dict[str, tuple[str, str, object]]] = {
     "MemoryObject": {"id": ("uuid", "string", None), "memoryAddress": ("memoryAddress", "bigint", 0), "size": ("memoryAddress", "bigint", 0), "tgid": ("baseObject.properties.map.tgid", "string", "")},
     "IpcObject": {
         "id": ("uuid", "string", ""), "internalType": ("type", "string", ""), "fd1": ("fd1.int", "int", None), "fd2": ("fd2.int", "int", None), "pid": ("baseObject.properties.map.pid", "string", ""),
-        "subtype": ("baseObject.properties.map.subtype", "string", ""), "path": ("baseObject.properties.map.path", "string", ""), "permission": ("baseObject.permission.SHORT", "string", ""), "epoch": ("baseObject.epoch.int", "int", 0),
+        "subtype": ("baseObject.properties.map.subtype", "string", ""), "path": ("baseObject.properties.map.path", "string", ""), "permission": ("baseObject.permission.S", "string", ""), "epoch": ("baseObject.epoch.int", "int", 0),
     },
     "Principal": {"id": ("uuid", "string", None), "internalType": ("type", "string", None), "userId": ("userId", "string", None), "groupIds": ("groupIds.array", "array<string>", None), "euid": ("properties.map.euid", "string", None)},
     "Host": {
@@ -58,7 +62,7 @@ def at_path(record: Column, path: str, kind: str, default: object = None, root:
     [*] takes a path of every element of an array, and inner arrays are comma-joined.
     """
     head, each, rest = path.partition("[*].")
-    steps = [UUID if s == "U" else f'["{s}"]' for s in head.split(".")]
+    steps = [WRAPPED.get(s, f'["{s}"]') for s in head.split(".")]
     whole = root + "".join(steps)
     if kind.startswith("array"):
         items = F.try_variant_get(record, whole, "array<variant>")
@@ -156,10 +160,47 @@ def audit_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return nodes, table("edge", {"from": "parentVertexHash", "to": "childVertexHash", "type": "type", "event id": "event id"})
 
 
+def _scalars(kind: str, path: str = "$") -> list[tuple[str, str]]:
+    """(path, type) of each scalar in a variant's type, as OBJECT<a: BIGINT, `b c`: ARRAY<STRING>>."""
+    if kind.startswith("ARRAY<"):
+        return _scalars(kind[6:-1], path + "[*]")
+    if not kind.startswith("OBJECT<"):
+        return [(path, kind.partition("(")[0])]
+    out, inner = [], kind[7:-1]
+    while inner:
+        if inner[0] == "`":
+            end = re.match(r"`((?:[^`]|``)*)`: ", inner)
+            key = end[1].replace("``", "`")
+        else:
+            end = re.match(r"([^:]*): ", inner)
+            key = end[1]
+        inner, depth, at = inner[end.end() :], 0, 0
+        quoted = False
+        while at < len(inner) and (depth or quoted or inner[at] != ","):
+            quoted ^= inner[at] == "`"
+            depth += (inner[at] in "<(") * (not quoted) - (inner[at] in ">)") * (not quoted)
+            at += 1
+        out += _scalars(inner[:at], f"{path}.{key}")
+        inner = inner[at + 2 :]
+    return out
+
+
 def structure(values: DataFrame, column: str = "value") -> DataFrame:
-    """(path, type, n) of every scalar in JSON texts: where it stands, of what type, in how many texts."""
+    """(path, type, n) of every scalar in JSON texts: where it stands, of what type, in how many texts.
+
+    A path of several types has a row for each. [*] stands for an array's elements; where an array's
+    elements differ in type, that is VARIANT. An empty object or array gives no row.
+    """
     d = values.select(F.try_parse_json(column).alias("v")).where("v IS NOT NULL").select(F.schema_of_variant("v").alias("type"))
-    return d.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    kinds = d.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+    def run(batches):
+        for rows in batches:
+            found = [(p, t, int(n)) for kind, n in zip(rows["type"], rows["n"], strict=True) for p, t in dict.fromkeys(_scalars(kind))]
+            yield pd.DataFrame(found, columns=["path", "type", "n"])
+
+    d = kinds.mapInPandas(run, "path string, type string, n bigint")
+    return d.groupBy("path", "type").agg(F.sum("n").alias("n"))
 
 
 def merged_structure(values: DataFrame, column: str = "value") -> str:

@@ -35,10 +35,11 @@ def id_lines(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 
 def split_vertices(df: DataFrame, layout: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(ids, properties) of a vertex table, first row of each id only."""
+    """(ids, properties) of a vertex table, first row of each id only: by `order`, else as the table is read."""
     key = LAYOUTS[layout][0]
-    d = keep_first(df, [key], [order]) if order else df.dropDuplicates([key])
-    return d.select(key), d.drop(*({key} if order is None else set()))
+    d = df if order else df.withColumn("_read", F.monotonically_increasing_id())
+    d = keep_first(d, [key], [order or "_read"]).drop("_read")
+    return d.select(key), d.drop(key)
 
 
 def split_edges(df: DataFrame, layout: str) -> tuple[DataFrame, DataFrame]:
@@ -77,6 +78,17 @@ def stored_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(name.alias("name")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
 
 
+def write_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as CSV with a header, in a folder of its name."""
+    for name, df in tables.items():
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/{name}")
+
+
+def write_per_file(df: DataFrame, path: str, file: str = "file") -> None:
+    """A set of outputs for each input file: rows with the file's name go to a folder of that name."""
+    df.write.mode("overwrite").partitionBy(file).parquet(path)
+
+
 def json_lines(df: DataFrame, path: str) -> None:
     """Rows as JSON objects without nulls, one a line."""
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

@@ -7,7 +7,7 @@ from grainline import catalog
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow ones are covered by tests on small streams.
-SLOW = {"learned_roundtrip_random_forest", "learned_roundtrip_decision_tree", "learned_roundtrip_naive_bayes", "store_forward"}
+SLOW = {"learned_roundtrip_random_forest", "learned_roundtrip_decision_tree", "learned_roundtrip_naive_bayes", "learned_roundtrip_support_vectors", "learned_roundtrip_neural_net", "store_forward", "store_backward"}
 
 
 def rounded(v):

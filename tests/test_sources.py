@@ -86,3 +86,89 @@ def test_ingest_appends_each_file_once(spark, tmp_path):
     run()
     assert spark.read.parquet(str(tmp_path / "out/edges")).count() == 2
     assert spark.read.parquet(str(tmp_path / "out/vertices")).count() == 1
+
+
+PREFIX = "com.bbn.tc.schema.avro.cdm20."
+SHORT = PREFIX + "SHORT"
+#: A full record of each type, and what every column of it must be.
+FULL = {
+    "SrcSinkObject": ({"uuid": "a", "type": "T", "fileDescriptor": {"int": 3}, "baseObject": {"epoch": {"int": 4}, "properties": {"map": {"pid": "7"}}}}, {"id": "a", "internalType": "T", "fileDescriptor": 3, "epoch": 4, "pid": "7"}),
+    "NetFlowObject": (
+        {"uuid": "a", "localAddress": {"string": "l"}, "localPort": {"int": 1}, "remoteAddress": {"string": "r"}, "remotePort": {"int": 2}, "ipProtocol": {"int": 6}, "baseObject": {"epoch": {"int": 4}}},
+        {"id": "a", "localAddress": "l", "localPort": 1, "remoteAddress": "r", "remotePort": 2, "ipProtocol": 6, "epoch": 4},
+    ),
+    "FileObject": ({"uuid": "a", "type": "T", "baseObject": {"permission": {SHORT: "0644"}, "epoch": {"int": 4}, "properties": {"map": {"path": "/p"}}}}, {"id": "a", "internalType": "T", "permission": "0644", "epoch": 4, "path": "/p"}),
+    "Subject": (
+        {
+            "uuid": "a", "type": "T", "cid": 5, "parentSubject": {UID: "p"}, "localPrincipal": {UID: "q"}, "startTimestampNanos": {"long": 1557239724513000001}, "unitId": {"int": 1}, "iteration": {"int": 2}, "count": {"int": 3},
+            "cmdLine": {"string": "ls"}, "properties": {"map": {"name": "n", "cwd": "/", "ppid": "1", "seen time": "9"}},
+        },
+        {
+            "id": "a", "internalType": "T", "cid": 5, "parentSubject": "p", "localPrincipal": "q", "startTimestampNanos": 1557239724513000001, "unitId": 1, "iteration": 2, "count": 3, "cmdLine": "ls", "name": "n", "cwd": "/",
+            "ppid": "1", "seen_time": "9",
+        },
+    ),
+    "MemoryObject": ({"uuid": "a", "memoryAddress": 77, "baseObject": {"properties": {"map": {"tgid": "8"}}}}, {"id": "a", "memoryAddress": 77, "size": 77, "tgid": "8"}),
+    "IpcObject": (
+        {"uuid": "a", "type": "T", "fd1": {"int": 1}, "fd2": {"int": 2}, "baseObject": {"permission": {SHORT: "0600"}, "epoch": {"int": 4}, "properties": {"map": {"pid": "7", "subtype": "s", "path": "/p"}}}},
+        {"id": "a", "internalType": "T", "fd1": 1, "fd2": 2, "pid": "7", "subtype": "s", "path": "/p", "permission": "0600", "epoch": 4},
+    ),
+    "Principal": ({"uuid": "a", "type": "T", "userId": "u", "groupIds": {"array": ["1", "2"]}, "properties": {"map": {"euid": "0"}}}, {"id": "a", "internalType": "T", "userId": "u", "groupIds": ["1", "2"], "euid": "0"}),
+    "Host": (
+        {
+            "uuid": "a", "hostName": "h", "ta1Version": "v", "hostType": "d", "osDetails": {"string": "o"}, "hostIdentifiers": {"array": [{"idType": "x", "idValue": "1"}, {"idType": "y", "idValue": "2"}]},
+            "interfaces": {"array": [{"name": "e0", "macAddress": "m", "ipAddresses": {"array": ["1", "2"]}}]},
+        },
+        {
+            "id": "a", "hostName": "h", "ta1Version": "v", "hostType": "d", "osDetails": "o", "hostIdentifiersIdType": ["x", "y"], "hostIdentifiersIdValue": ["1", "2"], "interfacesName": ["e0"], "interfacesMacAddress": ["m"],
+            "interfacesIpAddresses": ["1,2"],
+        },
+    ),
+}
+
+
+def test_every_column_of_every_record(spark):
+    rows = {r.type: r for r in logs.vertices(logs.record_lines(lines(spark, [wrapped(k, record) for k, (record, _) in FULL.items()]))).collect()}
+    assert set(rows) == set(logs.RECORDS) == set(FULL)
+    for kind, (_, want) in FULL.items():
+        assert set(want) == set(logs.RECORDS[kind])
+        assert {c: rows[kind][c] for c in want} == want, kind
+
+
+def test_missing_null_and_non_object_values_of_every_record(spark):
+    """A missing value, or one below something that is no object, gives the default; an explicit null at the path's end stays null."""
+    for make in (lambda record: {}, lambda record: {k: 5 if isinstance(v, dict) else v for k, v in record.items()}):
+        rows = {r.type: r for r in logs.vertices(logs.record_lines(lines(spark, [wrapped(k, make(record)) for k, (record, _) in FULL.items()]))).collect()}
+        for kind, (record, _) in FULL.items():
+            for c, (path, type_, default) in logs.RECORDS[kind].items():
+                if path.split(".")[0] in make(record) and "." not in path:
+                    continue
+                want = [] if type_.startswith("array") and "[*]" not in path and default is None else default
+                assert rows[kind][c] in (want, None if type_.startswith("array") else want), (kind, c)
+    null = wrapped("FileObject", {"uuid": "a", "baseObject": {"permission": {SHORT: None}, "epoch": {"int": None}}})
+    r = logs.vertices(logs.record_lines(lines(spark, [null]))).first()
+    assert (r.permission, r.epoch, r.path) == (None, None, "")
+
+
+def test_structure_by_path(spark):
+    rows = ['{"a": 1, "b": {"c d": "x", "e": [1, 2]}}', '{"a": "t", "b": {}}', '{"a": 2}', "{broken", '{"g": [{"h": true}, {"h": false}], "x<y": 1.5}']
+    got = {(r.path, r.type): r.n for r in logs.structure(lines(spark, rows)).collect()}
+    assert got == {("$.a", "BIGINT"): 2, ("$.a", "STRING"): 1, ("$.b.c d", "STRING"): 1, ("$.b.e[*]", "BIGINT"): 1, ("$.g[*].h", "BOOLEAN"): 1, ("$.x<y", "DECIMAL"): 1}
+
+
+def test_an_output_for_each_file(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"log{k}.json").write_text("\n".join(f"{k} {i}" for i in range(k + 1)))
+    tables.write_per_file(logs.log_files(spark, str(tmp_path / "in")), str(tmp_path / "out"))
+    for k in range(3):
+        assert spark.read.parquet(str(tmp_path / "out" / f"file=log{k}.json")).count() == k + 1
+    tables.write_tables({"one": spark.range(3), "two": spark.range(2)}, str(tmp_path / "csv"))
+    assert [spark.read.option("header", True).csv(str(tmp_path / "csv" / n)).count() for n in ("one", "two")] == [3, 2]
+
+
+def test_first_rows_of_vertices(spark):
+    d = spark.createDataFrame([("a", 1, "x"), ("a", 0, "y"), ("b", 5, "z")], "hash string, n int, p string").coalesce(1)
+    ids, properties = tables.split_vertices(d, "toy")
+    assert sorted(r.hash for r in ids.collect()) == ["a", "b"] and properties.columns == ["n", "p"] and sorted(r.p for r in properties.collect()) == ["x", "z"]
+    assert sorted(r.p for r in tables.split_vertices(d, "toy", "n")[1].collect()) == ["y", "z"]
