@@ -23,8 +23,8 @@ _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
 END = b" end"
 #: Bytes of text of a chunk, and input bytes per part of the n-grams' hash space.
 CHUNK_BYTES, PART_BYTES, MOST_PARTS = 8 << 20, 4 << 20, 4096
-#: Share of the bigram estimate in the interpolation with unigrams.
-BIGRAM_SHARE = 0.4
+#: A word seen n times is taken to have FOLLOWERS * n ** GROWTH different followers; its failure weight follows from that.
+FOLLOWERS, GROWTH = 2.0, 0.9
 
 
 def is_held_out(doc: int | None) -> bool:
@@ -66,7 +66,7 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Chunk:
     """Some megabytes of documents as indices into their own words and bigrams, each sorted by hash."""
 
-    docs: np.ndarray
+    docs: np.ndarray  # ids; those of rows without one are masked
     held_out: np.ndarray
     ends: np.ndarray  # of each document's tokens
     hashes: np.ndarray  # of its words, ascending
@@ -97,7 +97,7 @@ class Chunk:
         order = np.argsort(hashes)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        ids = np.array([-1 if d is None else d for d in docs], np.int64)
+        ids = np.ma.array([0 if d is None else d for d in docs], mask=[d is None for d in docs], dtype=np.int64)
         return Chunk.of(ids, np.array([is_held_out(d) for d in docs]), np.array(ends, np.int64), hashes[order], place[coded.indices.to_numpy(zero_copy_only=False)])
 
     def dumped(self) -> bytes:
@@ -105,12 +105,12 @@ class Chunk:
         order = np.argsort(-np.bincount(self.words, minlength=len(self.hashes)), kind="stable")
         rank = np.empty(len(order), np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        return bundle(squeezed(self.docs), squeezed(self.held_out.astype(np.uint8)), squeezed(np.diff(self.ends, prepend=0)), squeezed(rank[self.words]))
+        return bundle(squeezed(self.docs.data), squeezed(self.held_out + np.uint8(2) * np.ma.getmaskarray(self.docs)), squeezed(np.diff(self.ends, prepend=0)), squeezed(rank[self.words]))
 
     @staticmethod
     def loaded(data: bytes, hashes: np.ndarray, order: np.ndarray) -> Chunk:
-        docs, held_out, lengths, ranks = map(spread, unbundle(data, 4))
-        return Chunk.of(docs, held_out.astype(bool), np.cumsum(lengths), hashes, order.astype(np.int32)[ranks])
+        docs, flags, lengths, ranks = map(spread, unbundle(data, 4))
+        return Chunk.of(np.ma.array(docs, mask=flags > 1), flags % 2 == 1, np.cumsum(lengths), hashes, order.astype(np.int32)[ranks])
 
     def train(self) -> tuple[np.ndarray, np.ndarray]:
         """How often training documents have each word and each bigram."""
@@ -126,17 +126,18 @@ class Chunk:
 class Automaton:
     """States: the root and one per word. Arcs: seen bigrams, and from the root every word.
 
-    A state without an arc for the next token takes its failure arc to the root, at the failure's
-    weight, and reads the token there. Weights are log10 of the interpolated estimates
-    share * c(uw) / c(u) + (1 - share) * p(w), with p(w) = (c(w) + 1) / (N + V + 1), so what a failure
-    arc and a root arc add up to is the estimate of a bigram never seen. A word without training count
-    is a state whose failure arc is free.
+    A state without an arc for the next token takes its failure arc to the root, at the state's own
+    failure weight, and reads the token there. With c for counts, p(w) = (c(w) + 1) / (N + V + 1) at the
+    root. After u, with t = FOLLOWERS * c(u) ** GROWTH followers expected, the root has the share
+    f = t / (t + c(u)) and seen arcs the estimate (1 - f) c(uw) / c(u) + f p(w). So a seen arc's weight is
+    the log10 of that, and u's failure weight that of f. A word without training count fails free.
     """
 
-    def __init__(self, chunk: Chunk, word: np.ndarray, pair: np.ndarray, total: int, types: int, share: float):
+    def __init__(self, chunk: Chunk, word: np.ndarray, pair: np.ndarray, total: int, types: int):
         self.chunk = chunk
         self.root = np.log10((word + 1.0) / (total + types + 1.0))
-        self.failure = np.where(word > 0, np.log10(1 - share), 0.0)
+        share = FOLLOWERS / (FOLLOWERS + np.maximum(word, 1) ** (1 - GROWTH))
+        self.failure = np.where(word > 0, np.log10(share), 0.0)
         self.arc = np.full(len(pair), np.nan)
         seen = pair > 0
         first = np.zeros(len(pair), np.int64)  # some token that ends each bigram
@@ -145,7 +146,7 @@ class Automaton:
         self.inner = np.flatnonzero(inner)
         first[chunk.pair] = self.inner
         u, w = chunk.words[first[seen] - 1], chunk.words[first[seen]]
-        self.arc[seen] = np.log10(share * pair[seen] / word[u] + (1 - share) * 10 ** self.root[w])
+        self.arc[seen] = np.log10((1 - share[u]) * pair[seen] / word[u] + share[u] * 10 ** self.root[w])
 
     def traverse(self) -> np.ndarray:
         """log10 probability of each document: one pass over its tokens, each read from the state before."""
@@ -199,7 +200,7 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return result
 
 
-def _scored(total: int, types: int, share: float):
+def _scored(total: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
@@ -211,16 +212,16 @@ def _scored(total: int, types: int, share: float):
                 starts = np.append(0, chunk.ends[:-1])
                 base = np.log10((word + 1.0) / (total + types + 1.0))[chunk.words]
                 sums = [np.add.reduceat(x, starts) for x in ((word > 0)[chunk.words].astype(np.int64), base)]
-                score = Automaton(chunk, word, pair, total, types, share).traverse()
+                score = Automaton(chunk, word, pair, total, types).traverse()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(chunk.docs), pa.array(chunk.held_out), pa.array(np.diff(chunk.ends, prepend=0)), pa.array(sums[0]), pa.array(np.full(len(score), total, np.int64)), pa.array(sums[1]), pa.array(score)],
+                    [pa.array(chunk.docs.data, mask=np.ma.getmaskarray(chunk.docs)), pa.array(chunk.held_out), pa.array(np.diff(chunk.ends, prepend=0)), pa.array(sums[0]), pa.array(np.full(len(score), total, np.int64)), pa.array(sums[1]), pa.array(score)],
                     ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     return run
 
 
-def scored(df: DataFrame, doc: str = "doc_id", text: str = "text", share: float = BIGRAM_SHARE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scored(df: DataFrame, doc: str = "doc_id", text: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     The model is learned from all rows but the held-out ones (is_held_out). Text is read once, in chunks
@@ -229,9 +230,9 @@ def scored(df: DataFrame, doc: str = "doc_id", text: str = "text", share: float
     that asked, which build their piece of the automaton and traverse it. Nothing is cut off or sampled.
     What a task holds is one chunk, or one part; a very frequent n-gram is one entry per chunk.
 
-    Null and empty texts have the end token only; a null id is written as -1 and is not held out;
-    repeated rows are counted and scored each; an empty table gives an empty one. Words are compared by
-    64-bit hashes, bigrams by 56-bit ones.
+    Null and empty texts have the end token only; a row without an id stays without one and is not held
+    out; repeated rows are counted and scored each; other columns are not read, whatever their names; an
+    empty table gives an empty one. Words are compared by 64-bit hashes, bigrams by 56-bit ones.
     """
     spark = df.sparkSession
 
@@ -239,19 +240,20 @@ def scored(df: DataFrame, doc: str = "doc_id", text: str = "text", share: float
     size = int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(8, min(MOST_PARTS, size // PART_BYTES))
     schema = "kind string, chunk bigint, part int, payload binary"
-    path = written_path(d.mapInArrow(_gathered(parts, chunk_bytes), schema), "lm-chunks", "kind")
+    path = written_path(d.mapInArrow(_gathered(parts, chunk_bytes), schema), "lm-chunks", "kind", rows=512)
 
     chunks = spark.read.schema(schema).parquet(path)
     sums = written(
         chunks.where("kind = 'grams'").drop("kind").repartition(parts, "part").groupBy("part").applyInPandas(_summed, "chunk bigint, part int, payload binary, total bigint, types bigint"),
         "lm-sums",
+        rows=8,
     )
     remove(spark, f"{path}/kind=grams")
     total, types = sums.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     docs = spark.read.schema("chunk bigint, payload binary").parquet(f"{path}/kind=docs") if total or not sums.isEmpty() else chunks.where("false").select("chunk", "payload")
     by_chunk = sums.groupBy("chunk").agg(F.collect_list(F.struct("part", "payload")).alias("parts"))
     out = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return docs.withColumnRenamed("payload", "docs").join(by_chunk, "chunk").select("docs", "parts").mapInArrow(_scored(total, types, share), out)
+    return docs.withColumnRenamed("payload", "docs").join(by_chunk, "chunk").select("docs", "parts").mapInArrow(_scored(total, types), out)
 
 
 def op10_backoff_automaton(spark, sf_dir: str) -> DataFrame:

@@ -371,7 +371,8 @@ def test_viterbi_is_the_best_path():
         assert score([int(x) for x in crf.decode(rows)]) == pytest.approx(max(score([n >> k & 1 for k in range(6)]) for n in range(64)))
 
 
-def plain_scores(docs, share=lm.BIGRAM_SHARE):
+def plain_scores(docs):
+    """Each text token by token through an automaton of dictionaries: a state's arcs, else its failure arc and the root's."""
     words = [(i, (t or "").encode().translate(lm._LOWER).split() + [lm.END]) for i, t in docs]
     one, two = collections.Counter(), collections.Counter()
     for i, w in words:
@@ -379,16 +380,42 @@ def plain_scores(docs, share=lm.BIGRAM_SHARE):
             one.update(w)
             two.update(zip(w, w[1:], strict=False))
     n, v = sum(one.values()), len(one)
+    root = lambda x: (one[x] + 1) / (n + v + 1)
+    expected = {u: lm.FOLLOWERS * k**lm.GROWTH for u, k in one.items()}
+    share = {u: expected[u] / (expected[u] + k) for u, k in one.items()}
+    arcs = {(a, b): math.log10((1 - share[a]) * k / one[a] + share[a] * root(b)) for (a, b), k in two.items()}
     for i, w in words:
-        p = [(one[x] + 1) / (n + v + 1) for x in w]
-        s = [math.log10(share * two[(a, b)] / one[a] + (1 - share) * q) if one[a] else math.log10(q) for a, b, q in zip(w, w[1:], p[1:], strict=False)]
-        yield (-1 if i is None else i), lm.is_held_out(i), len(w), sum(one[x] > 0 for x in w), n, sum(map(math.log10, p)), math.log10(p[0]) + sum(s)
+        state, score = None, 0.0
+        for x in w:
+            if (state, x) in arcs:
+                score += arcs[state, x]
+            else:
+                score += (math.log10(share[state]) if one[state] else 0.0) + math.log10(root(x))
+            state = x
+        yield i, lm.is_held_out(i), len(w), sum(one[x] > 0 for x in w), n, sum(math.log10(root(x)) for x in w), score
+
+
+def test_estimates_after_a_word_sum_to_one():
+    """Over seen arcs and, at the failure's price, the root's arcs to what is unseen, with the root's own rest for unknown words."""
+    chunk = lm.Chunk.read([1, 2], ["a b a c a b", "b a a"])
+    word, pair = (x.astype(np.int64) for x in chunk.train())
+    total, types = int(word.sum()), int((word > 0).sum())
+    automaton = lm.Automaton(chunk, word, pair, total, types)
+    arcs = {}
+    for at, k in zip(automaton.inner, chunk.pair, strict=True):
+        arcs[chunk.words[at - 1], chunk.words[at]] = automaton.arc[k]
+    for u in range(len(word)):
+        seen = {w: a for (x, w), a in arcs.items() if x == u}
+        if seen and word[u] == sum(chunk.words[:-1][automaton.inner - 1] == u):
+            rest = 1 - sum(10 ** automaton.root[w] for w in seen)
+            assert sum(10**a for a in seen.values()) + 10 ** automaton.failure[u] * rest == pytest.approx(1)
 
 
 def test_scores(spark, docs, awkward):
     for table, rows in ((spark.createDataFrame(docs, "doc_id long, text string").repartition(3), docs), (awkward("score"), [(r[0], r[1]) for r in awkward().collect()])):
-        got = sorted(map(tuple, lm.scored(table, chunk_bytes=100_000).collect()))
-        for a, b in zip(got, sorted(plain_scores(rows)), strict=True):
+        key = lambda r: (r[0] is not None, r[0] or 0, *r[1:])
+        got = sorted(map(tuple, lm.scored(table, chunk_bytes=100_000).collect()), key=key)
+        for a, b in zip(got, sorted(plain_scores(rows), key=key), strict=True):
             assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
     assert lm.scored(awkward().limit(0)).count() == 0
 
