@@ -1,9 +1,7 @@
-"""Queries of this subpackage's operators, and DuckDB SQL for those that SQL can express."""
+"""Queries of this subpackage's operators (the pipeline over them is corpus_pipeline.py), and DuckDB SQL for those that SQL can express."""
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from .decontamination import op2_template_windows
 from .html_text import op9_crf_blocks
 from .licenses import op5_rare_word_index
@@ -28,7 +26,6 @@ QUERIES = {
     "op8_stratified_interleave": op8_stratified_interleave,
     "op9_crf_blocks": op9_crf_blocks,
     "op10_backoff_automaton": op10_backoff_automaton,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_redirect_equivalence": URL_SQL, "op3_quality_cascade": QUALITY_SQL}
