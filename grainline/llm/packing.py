@@ -13,24 +13,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import Encoder, blocks, column
+from .tokens import BATCH_BYTES, LITTLE, REMEMBERED, Encoder, blocks, column
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, ids array<int>"
 #: Rows of one group in which pieces of one length are numbered.
 GROUP_ROWS = 4096
 
 
-def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+def pieces(df: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, doc: str = "doc_id", text: str = "text", with_ids: bool = True, little: bool = False) -> DataFrame:
     """The pieces (PIECES, without ids if with_ids is off) of all documents, of at most capacity tokens.
 
     A document's tokens are its text's ids and end_id. Only a longer one is cut, so that all pieces but
     the first are full. Null and empty texts have one token. Repeated rows give pieces each.
+    `little` encodes with less memory.
     """
+    remembered, batch_bytes = LITTLE if little else (REMEMBERED, BATCH_BYTES)
     names = [c.split()[0] for c in PIECES.split(", ")][: None if with_ids else -1]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = Encoder.of(tokenizer), np.array([end_id], np.uint32)
-        for table in blocks(batches, "text"):
+        encoder, end = Encoder.of(tokenizer, remembered), np.array([end_id], np.uint32)
+        for table in blocks(batches, "text", batch_bytes):
             rows = []
             for d, x in zip(column(table, "doc").to_pylist(), encoder.encode(column(table, "text")), strict=True):
                 x = np.concatenate([x, end]).astype("<u4")
@@ -187,11 +189,11 @@ def sequences(d: DataFrame) -> DataFrame:
     return rows.select("sequence_id", F.flatten("rows.ids").alias("ids"), F.col("rows.doc_id").alias("doc_ids"))
 
 
-def packing_table(docs: DataFrame, capacity: int = 2048) -> DataFrame:
+def packing_table(docs: DataFrame, capacity: int = 2048, little: bool = False) -> DataFrame:
     """One row per piece of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     import public_tokenizers
 
-    cut = written(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity, with_ids=False), "pieces", rows=512)
+    cut = written(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity, with_ids=False, little=little), "pieces", rows=512)
     return packed(cut, capacity)
 
 
