@@ -34,7 +34,7 @@ def pack(spark, docs, sf_dir):
     Null and empty texts are one token, repeated rows and rows without an id are packed each, and an
     empty table gives an empty one; other columns are not read.
     """
-    return packing.packing_table(docs)
+    return packing.packing_table(docs, little=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("pack", pack)]
