@@ -172,6 +172,11 @@ def neighbour_tree(lines: DataFrame, k: int = 5, chunk_rows: int = 1024, dims: i
     return encoded(d, parents, chunk_rows)
 
 
+def append(tree: DataFrame, path: str) -> None:
+    """Adds a tree's chunks to the payloads in a folder. A chunk that is there already is replaced, so one that is run again does no harm."""
+    tree.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk").parquet(path)
+
+
 def decoded(tree: DataFrame) -> DataFrame:
     """(pos, line) of every line: each chunk's scripts applied from its roots on, without recursion."""
 
