@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, remove, words, written_path
 
-#: Rows of the sample on which cost and selectivity are estimated. They order the rules and decide no row.
+#: Rows, about, of the sample on which cost and selectivity are estimated. They order the rules and decide no row.
 SAMPLE_ROWS = 2000
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -23,6 +23,9 @@ class Rule:
     fails: str
 
 
+#: Rules that always hold, and the count that costs far more than all others.
+BASE_RULES = (Rule("few_words", "n_words < 50"), Rule("repeated_words", "100 * n_repeat_words > 50 * n_words"))
+DEAR = "n_repeat_words"
 #: Limits of common web-text filters.
 RULES = (
     Rule("symbols", "n_symbols > 0.1D * n_words"),
@@ -34,9 +37,12 @@ RULES = (
 )
 
 
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
+def measured(df: DataFrame, text: str = "text", only: Column | None = None) -> DataFrame:
     """df with the five base counts (long) and the text as _gl_text, null read as empty.
 
+    With only, a condition on the other counts and the text, rows that don't meet it are left out before
+    n_repeat_words is counted.
+
     Repeated three-word windows are found by sorting: each window's 64-bit hash, its low bits replaced
     by the window's place, so that one sort of longs brings equal windows together. Neighbours are then
     compared by their whole hashes. Time is n log n in a text's words, whatever it repeats. Columns of
@@ -56,9 +62,15 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
         "transform(_gl_w, w -> xxhash64(w)) AS _gl_h",
     )
     keep += BASE[:3]
+    lines = "CAST(size(_gl_l) - size(array_distinct(_gl_l)) AS BIGINT) AS n_dup_lines"
+    if only is not None:
+        # a generator, so that the planner doesn't copy the counts into the filter
+        d = d.selectExpr(*keep, lines, "_gl_h")
+        d = d.selectExpr(*[c for c in keep if c not in BASE], f"inline(array(struct({', '.join(BASE[:4])}, _gl_h)))").where(only)
+        lines = "n_dup_lines"
     d = d.selectExpr(
         *keep,
-        "CAST(size(_gl_l) - size(array_distinct(_gl_l)) AS BIGINT) AS n_dup_lines",
+        lines,
         "transform(slice(_gl_h, 1, CAST(greatest(n_words - 2, 0) AS INT)), (h, i) -> xxhash64(h, get(_gl_h, i + 1), get(_gl_h, i + 2))) AS _gl_t",
         "shiftleft(1L, CAST(ceil(log2(greatest(n_words, 2))) AS INT)) - 1 AS _gl_m",
     )
@@ -71,18 +83,26 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     return d.selectExpr(*[c for c in keep if c not in BASE], f"inline(array(struct({', '.join(BASE)})))")
 
 
-def ordered(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
+def ordered(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, dear: bool = False) -> list[Rule]:
     """The rules by rejections per second, each counted on what the rules before it leave.
 
-    Rows are sampled before they are measured. Cost is the time of a rule alone over a sample, less that of
-    reading it; selectivity comes from one count by which rules fail. The order changes the cost of
-    cascade(), never its result.
+    Rows are sampled from all partitions, some sample_rows of them, before they are measured. Cost is the
+    time of a rule alone over the sample, less that of reading it; with dear, a rule on the dear count also
+    bears the time of counting. Selectivity comes from one count by which rules fail. The order changes the
+    cost of cascade(), never its result.
     """
     n = df.count()
     spark = df.sparkSession
-    sample = df.select(text).sample(min(1.0, 1.5 * sample_rows / max(n, 1)), seed=42).limit(sample_rows)
+    sample = df.select(text).sample(min(1.0, sample_rows / max(n, 1)), seed=42).repartition(4)
     path = written_path(sample, "quality-sample")
-    measures = measured(spark.read.schema(sample.schema).parquet(path), text)
+    texts = spark.read.schema(sample.schema).parquet(path)
+    measures = measured(texts, text)
+    counting = 0.0
+    if dear:
+        for some in (True, False, True):  # the first one compiles
+            t = time.perf_counter()
+            measured(texts, text, (F.col("n_words") >= 0) == some).agg(*[F.sum(c) for c in BASE]).first()
+            counting = time.perf_counter() - t - (counting if some else 0.0)
     measured_path = written_path(measures, "quality-sample")
     remove(spark, path)
     path, sample = measured_path, spark.read.schema(measures.schema).parquet(measured_path)
@@ -97,7 +117,7 @@ def ordered(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES,
         return min(took)
 
     floor = seconds(F.lit(False))
-    cost = [max(1e-3, seconds(c) - floor) for c in fails]
+    cost = [max(1e-3, seconds(c) - floor) + (max(0.0, counting) if DEAR in r.fails else 0.0) for c, r in zip(fails, rules, strict=True)]
     patterns = sample.groupBy(*[c.alias(f"r{i}") for i, c in enumerate(fails)]).count().collect()
     remove(spark, path)
     left, out = list(range(len(rules))), []
@@ -126,11 +146,26 @@ def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -
     """
     d = measured(df.drop("base_failed", "failed_rule", "kept"), text)
     order = ordered(df, text, rules)
-    d = d.withColumn("base_failed", F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words"))
+    d = d.withColumn("base_failed", F.expr(" OR ".join(f"({r.fails})" for r in BASE_RULES)))
     d = d.withColumn("failed_rule", F.when(~F.col("base_failed"), cascade(d, order)))
     return d.withColumn("kept", ~F.col("base_failed") & F.col("failed_rule").isNull()).drop("_gl_text")
 
 
+def accepted(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of df that pass the base rules and rules: those that judged() keeps, with df's columns as they are.
+
+    All rules are one cascade, the dear count with them: it is made only for rows that pass every rule
+    put before it. Null and empty texts go; repeated rows go or stay alike; an empty table gives an empty
+    one; columns may have any names.
+    """
+    d = df.toDF(*[f"_gl_c{i}" for i in range(len(df.columns))])
+    own = d.columns[df.columns.index(text)]
+    order = ordered(d, own, (*BASE_RULES, *rules), dear=True)
+    at = next(i for i, r in enumerate(order) if DEAR in r.fails)
+    d = measured(d, own, cascade(d, order[:at]).isNull())
+    return d.where(cascade(d, order[at:]).isNull()).select(*[F.col(f"_gl_c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
 def op3_quality_cascade(spark, sf_dir: str) -> DataFrame:
     """Counts and verdicts of all documents."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

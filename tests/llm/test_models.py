@@ -7,6 +7,7 @@ import html as entities
 import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -300,6 +301,28 @@ def test_shards(spark, sf, docs, awkward):
     assert sharding.interleave(awkward().limit(0), 4).count() == 0
 
 
+@pytest.mark.parametrize("group_rows", [1024, 40])
+def test_shards_against_a_plain_interleave(spark, sf, monkeypatch, group_rows):
+    xxh64_intdigest = xxhash.xxh64_intdigest
+    monkeypatch.setattr(sharding, "GROUP_ROWS", group_rows)
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    rows, seed = [tuple(r) for r in d.collect()], xxh64_intdigest(struct.pack("<i", 42), 42)
+    groups, strata, line = max(1, -(-len(rows) // group_rows)), collections.defaultdict(list), []
+    for i, source in rows:
+        h = xxh64_intdigest(struct.pack("<q", i), seed)
+        h -= (h >> 63) << 64
+        strata["null" if source is None else f"={source}"].append((h % groups, h, i))
+    for name, found in strata.items():
+        phase = xxh64_intdigest(name.encode(), seed)
+        phase = ((phase - ((phase >> 63) << 64)) % 1_000_000 + 0.5) / 1_000_000
+        line += [((k + phase) / len(found), name, k, i) for k, (_, _, i) in enumerate(sorted(found))]
+    n, want = len(rows), []
+    for place, (_, _, _, i) in enumerate(sorted(line)):
+        shard = place * 16 // n
+        want.append((i, shard, place - (shard * n + 15) // 16))
+    assert sorted(map(tuple, sharding.interleave(d).select("doc_id", "shard", "slot").collect())) == sorted(want)
+
+
 def test_shards_on_disk(spark, sf, tmp_path):
     sharding.write_shards(spark.read.parquet(f"{sf}/documents.parquet"), str(tmp_path / "s"), n_shards=3)
     assert sorted(r["count"] for r in spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count().collect()) == [66, 67, 67]

@@ -1,6 +1,7 @@
 """Operators 1, 2, 3 and 5 against plain versions."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -47,6 +48,24 @@ def test_cascade_order_changes_nothing(spark, sf):
     assert sorted(r.name for r in quality.ordered(spark.read.parquet(f"{sf}/documents.parquet"))) == sorted(r.name for r in rules)
 
 
+def test_whole_cascade_keeps_the_same(spark, sf, awkward):
+    for d in (spark.read.parquet(f"{sf}/documents.parquet"), awkward("n_words"), awkward("kept")):
+        got = quality.accepted(d)
+        assert got.schema == d.schema
+        names = [f"c{i}" for i in range(len(d.columns))]
+        want = quality.judged(d.toDF(*names), names[d.columns.index("text")]).where("kept").select(*names)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert quality.accepted(awkward().limit(0)).count() == 0
+    every = quality.ordered(spark.read.parquet(f"{sf}/documents.parquet"), "text", (*quality.BASE_RULES, *quality.RULES), dear=True)
+    assert sorted(r.name for r in every) == sorted(r.name for r in (*quality.BASE_RULES, *quality.RULES))
+
+
+def test_counts_of_some_rows_only(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    some = quality.measured(d, "text", F.col("n_words") > 100).select("doc_id", *quality.BASE)
+    assert sorted(map(tuple, some.collect())) == sorted(map(tuple, quality.measured(d).where("n_words > 100").select("doc_id", *quality.BASE).collect()))
+
+
 def test_licences(spark, sf, docs, awkward):
     rows = {r.doc_id: r for r in licenses.op5_rare_word_index(spark, sf).collect()}
     for i, t in docs:
@@ -138,6 +157,45 @@ def test_rules_by_longest(spark):
     assert [r.r and r.r.rule for r in d.collect()] == ["net/de/", "example.net/de/8", None, "com/en/", "org/es/"]
 
 
+def test_verdicts_of_linked_pages_against_union(spark):
+    """A hub that 1,500 pages name as canonical, a chain of redirects and scattered links, with repeated pages and pages without a host."""
+    rng = random.Random(5)
+    site = lambda i: f"http://h{i % 97}.example.{('com', 'net', 'org')[i % 3]}{('/en/', '/de/8/', '/de/7/', '/es/', '/x/', '/en/7/')[i // 3 % 6]}{i}?q={i % 5}"
+    links = {i: site(0) for i in range(1, 1501)} | {i: site(i + 1) for i in range(2000, 2150)} | {i: site(rng.randrange(2500, 3000)) for i in range(2500, 2900)}
+    rows = []
+    for i in range(3000):
+        tag = f"<link rel='canonical' href='{links[i]}'>" if i % 2 and i in links else f'<meta http-equiv="refresh" content="0; url={links[i]}">' if i in links else ""
+        rows.append((i, site(i), f"<html><head>{tag}</head><p>text</p></html>"))
+    rows += [(3000 + k, url, html) for k, (_, url, html) in enumerate(rows[::7])] + [(9000 + k, None if k % 2 else "no address", "<p>x</p>") for k in range(300)]
+    split = lambda url: re.match(r"([^/?#]*)([^?#]*)", url.split("://", 1)[1]).groups() if "://" in (url or "") else ("", "")
+
+    def rule(url):
+        host, path = split(url)
+        fits = [(len(r), v, r) for v, r in urls.RULES for own, rest in [r.split("/", 1)] if (host == own or host.endswith("." + own)) and path.startswith("/" + rest)]
+        return max(fits)[1:] if fits else (None, None)
+
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, to in links.items():
+        up[root(site(i))] = root(to)
+    found = collections.defaultdict(set)
+    for x in list(up):
+        found[root(x)].add(rule(x)[0])
+    spread = {x for x in up if "block" in found[root(x)] and "allow" not in found[root(x)]}
+    want = sorted((i, *split(url), rule(url)[1], rule(url)[0] or ("block" if url in spread else "allow")) for i, url, _ in rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(8)
+    got = urls.judged(pages, urls.page_edges(pages)).select("page_id", "host", "path", "rule", "verdict")
+    key = lambda r: (r[0], str(r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert {(r, v) for _, _, _, r, v in want if r is None} == {(None, "allow"), (None, "block")}
+
+
 def test_components_against_union(spark):
     import random
 
