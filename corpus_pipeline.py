@@ -11,7 +11,7 @@ from grainline.llm.common import written
 
 def quality_rules(spark, docs, sf_dir):
     """Drops the documents that the quality rules reject, null and empty texts with them."""
-    return quality.judged(docs).where("kept").select(*docs.columns)
+    return quality.accepted(docs)
 
 
 def near_duplicates(spark, docs, sf_dir):
