@@ -40,7 +40,7 @@ def test_small_and_one_source_streams_come_back(spark, rows):
     assert _round_trip(spark, d, "order_k") == sorted(rows)
 
 
-@pytest.mark.parametrize("name", ["order_k", "decision_tree", "naive_bayes", "neural_net", "support_vectors"])
+@pytest.mark.parametrize("name", sorted(segments.FITS))
 def test_round_trip_writes_no_row_per_symbol(spark, sf, tmp_path, name, monkeypatch):
     """Every edge comes back, and no table in the shared folder has more rows than there are edges; it was a row per symbol, some 20 an edge."""
     want = sorted(map(tuple, base.dense(spark, sf)[1].select("src", "dst", "eid").collect()))
