@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from grainline.functions.codecs import adjacency_symbols, symbols_adjacency
-from grainline.operators import graph, predictors, trees
+from grainline.operators import graph, predictors, segments, trees
 from grainline.operators.ids import dense_ids, with_ids
 from grainline.runtime import materialized
 from grainline.sources.tables import archive, stored_bytes, unarchive
@@ -30,15 +29,14 @@ def encode(edges: DataFrame, vertices: DataFrame | None, path: str, model: str =
     """
     spark = edges.sparkSession
     ids = materialized(dense_ids(vertices, edges), "ids")
-    symbols = materialized(predictors.stream(adjacency_symbols(graph.adjacency(with_ids(edges, ids)))), "symbols")
-    predict = predictors.fit(predictors.windows(symbols), model)
+    symbols = segments.stream(with_ids(edges, ids))
+    predict = segments.fit(symbols, model)
     kinds = [(t, c, d.schema[c].dataType.simpleString()) for t, d, cs in (("edge_tree", edges, edge_columns), ("vertex_tree", vertices, vertex_columns)) for c in cs]
     tables = {
         "ids": ids,
         "model": predictors.model_table(spark, predict),
         "columns": spark.createDataFrame([(i, *k) for i, k in enumerate(kinds)], "place int, tree string, name string, type string").coalesce(1),
-        "corrections": predictors.corrections(symbols, predict),
-        "segments": symbols.groupBy("seg").agg(F.count(F.lit(1)).alias("n")),
+        "corrections": segments.corrections(symbols, predict),
         "edge_tree": trees.attribute_tree(csv_line(edges.withColumn("pos", F.col("eid")), list(edge_columns)), method, w, chunk_rows),
     }
     if vertices is not None:
@@ -51,7 +49,7 @@ def encode(edges: DataFrame, vertices: DataFrame | None, path: str, model: str =
 def topology(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst, eid) of every edge of an archive, by dense ids."""
     t = unarchive(spark, path)
-    return symbols_adjacency(predictors.restored_records(t["corrections"], t["segments"], predictors.model_of(t["model"])))
+    return segments.edges(t["corrections"], predictors.model_of(t["model"]))
 
 
 class Opened:
@@ -70,17 +68,19 @@ class Opened:
         columns = t["columns"].orderBy("place").collect()
 
         def read(tree: str, wanted: DataFrame) -> DataFrame:
-            lines, own = trees.lookup(t[tree], wanted), [c for c in columns if c["tree"] == tree]
+            lines, own = trees.lookup(t[tree], wanted, few=True), [c for c in columns if c["tree"] == tree]
             if not own:
                 return lines.select("pos")
             row = F.from_csv("line", ", ".join(f"`{c['name']}` string" for c in own), AS_IS).alias("r")
             return lines.select("pos", row).select("pos", *[F.col(f"r.`{c['name']}`").cast(c["type"]).alias(c["name"]) for c in own])
 
-        ends = hits.select(F.explode(F.array("src", "dst")).alias("vid")).distinct().join(ids, "vid")
+        ends = hits.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+        ends = ids.join(F.broadcast(ends), "vid")
         edge_rows = graph.edge_hits(hits, read("edge_tree", hits.select(F.col("eid").alias("pos"))).withColumnRenamed("pos", "eid"))
         for side in ("src", "dst"):
             edge_rows = edge_rows.join(ends.select(F.col("vid").alias(side), F.col("key").alias(f"{side}_key")), side)
-        nodes = hits.groupBy(F.col("dst").alias("vid")).agg(F.min("seq").alias("seq")).join(ids, "vid")
+        nodes = hits.groupBy(F.col("dst").alias("vid")).agg(F.min("seq").alias("seq"))
+        nodes = ids.join(F.broadcast(nodes), "vid")
         if "vertex_tree" in t:
             at = nodes.join(t["vertex_pos"], "key", "left")
             nodes = at.join(read("vertex_tree", at.where("pos IS NOT NULL").select("pos")), "pos", "left").drop("pos")

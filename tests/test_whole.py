@@ -125,3 +125,14 @@ def test_nearest_doesnt_compare_row_by_row(spark):
     began = time.time()
     got = similarity.nearest(d, d.where("vec_id % 10 = 0"), 5).select("q", "p", "rank").collect()
     assert len(got) == 15_000 and time.time() - began < 40
+
+
+def test_store_writes_no_row_per_symbol(spark, tmp_path):
+    from grainline.plans import store
+
+    rows = [(e, f"n{e % 40}", f"n{(e * 7 + 1) % 50}", 0.5) for e in range(3000)]
+    store.encode(spark.createDataFrame(rows, "eid long, src string, dst string, w double"), None, str(tmp_path / "a"), edge_columns=("w",))
+    corrections = spark.read.parquet(str(tmp_path / "a" / "corrections"))
+    assert corrections.count() == corrections.select("seg").distinct().count() < 100
+    keys = {r.key: r.vid for r in spark.read.parquet(str(tmp_path / "a" / "ids")).collect()}
+    assert sorted(map(tuple, store.topology(spark, str(tmp_path / "a")).select("src", "dst", "eid").collect())) == sorted((keys[s], keys[d], e) for e, s, d, _ in rows)
