@@ -49,3 +49,52 @@ def test_round_trip_writes_no_row_per_symbol(spark, sf, tmp_path, name, monkeypa
     assert sorted(map(tuple, got.select("src", "dst", "eid").collect())) == want
     rows = {d: spark.read.parquet(f"{tmp_path}/{d}").count() for d in os.listdir(tmp_path) if not d.startswith("drawn")}  # of drawn windows there are about 200,000 at most
     assert max(rows.values()) <= len(want) + 1000, rows
+
+
+def _walked(feature, most, levels, row):
+    at = 0
+    for _ in range(levels):
+        at = 2 * at + 1 + int(feature[at] >= 0 and row[feature[at]] > most[at])
+    return at
+
+
+@pytest.mark.parametrize("context", [1, 4, 10])
+@pytest.mark.parametrize("levels", [0, 1, 5, 6, 8])
+def test_descent_is_a_walk_from_node_to_node(context, levels):
+    r = np.random.default_rng(levels)
+    feature, most = r.integers(-1, context, 511).astype(np.int32), r.integers(0, 13, 511).astype(np.int8)
+    feature[r.random(511) < 0.2] = -1
+    most[feature < 0] = 127
+    x = np.ascontiguousarray(r.integers(0, 13, (context, 400)).astype(np.int8)).T
+    assert segments._descent(feature, most, levels, context)(x).tolist() == [_walked(feature, most, levels, row) for row in x]
+
+
+@pytest.mark.parametrize(("features", "share"), [(10, None), (4, 0.8)])
+@pytest.mark.parametrize("level", [0, 4, 5])
+def test_trees_count_all_windows_with_few_passes(features, share, level, monkeypatch):
+    """Counts of every asked feature against windows one by one; two features a pass while there are few nodes, it was one."""
+    r = np.random.default_rng(7)
+    trees = segments._Trees(2, 6, features, 10, share)
+    trees.feature[:] = r.integers(-1, 10, trees.feature.shape)
+    trees.most[:] = r.integers(0, 12, trees.most.shape)
+    segs, grid = np.arange(5), r.integers(0, 13, (40, 5)).astype(np.int8)
+    grid[25:, 4] = -1
+    want = np.zeros((2, features, 2**level, 13, 13), np.int64)
+    for t in range(2):
+        for s, w in enumerate(trees.weights(segs, t)):
+            for k in range(10, 40 if s < 4 else 25):
+                node = _walked(trees.feature[t], trees.most[t], level, grid[k - 10 : k, s]) - (2**level - 1)
+                for f, c in enumerate(trees.asked[t, 2**level - 1 + node]):
+                    want[t, f, node, grid[k - 10 + c, s], grid[k, s]] += w
+    passes, plain = [0], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda *a, **b: passes.__setitem__(0, passes[0] + 1) or plain(*a, **b))
+    assert (trees.count(level, 10)(segs, None, grid).reshape(want.shape) == want).all()
+    assert passes[0] <= (5 if level < 5 else 10) * sum(len(np.unique(w[w > 0])) for w in (trees.weights(segs, t) for t in range(2)))
+
+
+def test_forest_votes_go_to_the_smallest_of_the_most_frequent():
+    r = np.random.default_rng(3)
+    a = {"feature": r.integers(-1, 10, (6, 63)).astype(np.int32), "most": r.integers(0, 12, (6, 63)).astype(np.int8), "label": r.integers(0, 13, (6, 63)).astype(np.int8)}
+    x = np.ascontiguousarray(r.integers(0, 13, (10, 300)).astype(np.int8)).T
+    votes = [[label[_walked(f, m, 5, row)] for f, m, label in zip(*a.values(), strict=True)] for row in x]
+    assert segments.compiled(predictors.Model("heaps", a))(x).tolist() == [np.bincount(v, minlength=13).argmax() for v in votes]
