@@ -76,7 +76,7 @@ def test_trees_count_all_windows_with_few_passes(features, share, level, monkeyp
     r = np.random.default_rng(7)
     trees = segments._Trees(2, 6, features, 10, share)
     trees.feature[:] = r.integers(-1, 10, trees.feature.shape)
-    trees.most[:] = r.integers(0, 12, trees.most.shape)
+    trees.most[:] = np.where(trees.feature < 0, 127, r.integers(0, 12, trees.most.shape))
     segs, grid = np.arange(5), r.integers(0, 13, (40, 5)).astype(np.int8)
     grid[25:, 4] = -1
     want = np.zeros((2, features, 2**level, 13, 13), np.int64)
@@ -95,6 +95,7 @@ def test_trees_count_all_windows_with_few_passes(features, share, level, monkeyp
 def test_forest_votes_go_to_the_smallest_of_the_most_frequent():
     r = np.random.default_rng(3)
     a = {"feature": r.integers(-1, 10, (6, 63)).astype(np.int32), "most": r.integers(0, 12, (6, 63)).astype(np.int8), "label": r.integers(0, 13, (6, 63)).astype(np.int8)}
+    a["most"][a["feature"] < 0] = 127
     x = np.ascontiguousarray(r.integers(0, 13, (10, 300)).astype(np.int8)).T
     votes = [[label[_walked(f, m, 5, row)] for f, m, label in zip(*a.values(), strict=True)] for row in x]
     assert segments.compiled(predictors.Model("heaps", a))(x).tolist() == [np.bincount(v, minlength=13).argmax() for v in votes]
