@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from grainline import catalog, runtime
 from grainline.functions import codecs
@@ -99,3 +100,62 @@ def test_forest_votes_go_to_the_smallest_of_the_most_frequent():
     x = np.ascontiguousarray(r.integers(0, 13, (10, 300)).astype(np.int8)).T
     votes = [[label[_walked(f, m, 5, row)] for f, m, label in zip(*a.values(), strict=True)] for row in x]
     assert segments.compiled(predictors.Model("heaps", a))(x).tolist() == [np.bincount(v, minlength=13).argmax() for v in votes]
+
+
+def _kinds(path):
+    return sorted(d.rpartition("-")[0] for d in os.listdir(path))
+
+
+@pytest.mark.parametrize("shift", [0, 1 << 60])
+def test_dense_edges_by_whole_numbers_are_those_by_text(spark, sf, tmp_path, shift, monkeypatch):
+    """Alike for any key, ends that customers lack, nulls and repeated lines; only the ids and the edges stay, it was every step's table."""
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: str(tmp_path / "shared"))
+    for t, keys in (("customer", ["c_custkey"]), ("orders", ["o_orderkey", "o_custkey"]), ("lineitem", ["l_orderkey", "l_partkey"])):
+        d = spark.read.parquet(f"{sf}/{t}.parquet").limit(1500)
+        d = d.unionByName(d.limit(20)) if t == "lineitem" else d.where(f"{keys[0]} % 5 <> 1").unionByName(d.limit(1).withColumn(keys[0], F.lit(-7).cast("bigint")))
+        d = d.withColumn(keys[-1], F.when(F.col(keys[-1]) % 11 != 3, F.col(keys[-1]))) if t != "customer" else d
+        d.withColumns({k: F.col(k) + shift for k in keys}).write.parquet(f"{tmp_path}/a/{t}.parquet")
+    os.symlink(tmp_path / "a", tmp_path / "b")
+    found = [sorted(map(tuple, x.collect())) for x in base.dense(spark, f"{tmp_path}/a")]
+    assert _kinds(tmp_path / "shared") == (["dense", "dense-edges"] if not shift else ["dense", "dense-edges", "numbered"])  # edges() by text stay for other queries
+    monkeypatch.setattr(base, "_numbered_keys", lambda *_: None)
+    assert [sorted(map(tuple, x.collect())) for x in base.dense(spark, f"{tmp_path}/b")] == found
+    assert len(found[1]) > 500
+
+
+@pytest.mark.parametrize("name", ["neural_net", "support_vectors", "random_forest"])
+def test_round_trip_drops_what_was_read(spark, sf, tmp_path, name, monkeypatch):
+    """No table of segments or windows stays beside the restored edges."""
+    base.dense(spark, sf)
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: str(tmp_path))
+    catalog.QUERIES[f"learned_roundtrip_{name}"](spark, sf).collect()
+    assert _kinds(tmp_path) == ["restored", "running"]
+
+
+def test_net_in_whole_numbers_predicts_alike_in_any_batch():
+    """As the net it is made of but for near ties, and exactly as plain whole numbers, whatever stands beside a row."""
+    r = np.random.default_rng(5)
+    x = np.ascontiguousarray(r.integers(0, 13, (10, 2000)).astype(np.int8)).T
+    for scale in (0.01, 2, 40):
+        layers = {"w0": r.normal(size=(16, 10)) * scale, "b0": r.normal(size=16), "w1": r.normal(size=(13, 16)) * scale, "b1": r.normal(size=13)}
+        model = segments._whole_net(layers)
+        got = model(x)
+        a = {k: v.astype(np.int64) for k, v in model.arrays.items()}
+        hidden = a["sigmoid"][np.clip((a["w0"] @ x.T + a["b0"][:, None]) >> a["shift"][0], 0, len(a["sigmoid"]) - 1)]
+        assert (got == (a["w1"] @ hidden + a["b1"][:, None]).argmax(0)).all()
+        assert (np.abs(a["w0"]).sum(1) * 12 + np.abs(a["b0"])).max() < 2**24 > (np.abs(a["w1"]).sum(1) * 1023 + np.abs(a["b1"])).max()
+        assert (got == predictors.Model("layers", layers)(x)).mean() > 0.98
+        for n in (1, 3, 17):
+            assert (model(np.ascontiguousarray(x[50 : 50 + n].T).T) == got[50 : 50 + n]).all()
+
+
+@pytest.mark.parametrize("tie", [False, True])
+def test_linear_predictions_are_plain_ones(tie, monkeypatch):
+    """Weights of whole 2 ** -26ths go to the first largest sum without a comparison per symbol."""
+    r = np.random.default_rng(6)
+    w, b = segments._exact(r.normal(size=(13, 10))), segments._exact(np.r_[-1e9, r.normal(size=12)])
+    if tie:
+        w[9], b[9], w[4], b[4] = w[2], b[2], w[2], b[2]
+    x = np.ascontiguousarray(r.integers(0, 13, (10, 2000)).astype(np.int8)).T
+    monkeypatch.setattr(segments, "_highest", None)
+    assert (segments.compiled(predictors.Model("linear", {"weights": w, "bias": b}))(x) == (w @ x.T + b[:, None]).argmax(0)).all()
