@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from grainline import catalog, runtime
 from grainline.functions import codecs
-from grainline.operators import graph, predictors, segments
+from grainline.operators import graph, ids, predictors, segments
 from grainline.plans import base
 
 
@@ -132,6 +132,51 @@ def test_round_trip_drops_what_was_read(spark, sf, tmp_path, name, monkeypatch):
     assert _kinds(tmp_path) == ["restored", "running"]
 
 
+def test_large_tables_are_joined_and_sorted_in_slices(spark, sf, tmp_path, monkeypatch):
+    """Same ids, edges and stream, while no query sorts or joins more than some 0.4 of the edges at once; it was all of them."""
+    os.symlink(sf, tmp_path / "whole")
+    os.symlink(sf, tmp_path / "slices")
+    want = [sorted(map(tuple, x.collect())) for x in base.dense(spark, f"{tmp_path}/whole")]
+    plain = {r.seg: bytes(r.data) for r in segments.stream(base.dense(spark, f"{tmp_path}/whole")[1]).collect()}
+    monkeypatch.setattr(runtime, "SLICE", 1000)
+    written, put = [], runtime.materialized_slices
+
+    def noted(slices, name):
+        slices = list(slices)
+        written.append((name, [d.count() for d in slices]))
+        return put(slices, name)
+
+    for m in (ids, segments):
+        monkeypatch.setattr(m, "materialized_slices", noted)
+    got = base.dense(spark, f"{tmp_path}/slices")
+    assert [sorted(map(tuple, x.collect())) for x in got] == want
+    assert {r.seg: bytes(r.data) for r in segments.stream(got[1], slices=runtime.slices_of(got[1])).collect()} == plain
+    assert [name for name, _ in written] == ["half", "dense-edges", "pieces"]
+    for _, rows in written[:2]:
+        assert len(rows) == 4 and sum(rows) == len(want[1]) and max(rows) < 0.4 * len(want[1])
+    assert len(written[2][1]) == 4
+
+
+@pytest.mark.parametrize("rows", [[], [(7, k % 5, k) for k in range(50)], [(k, 1, k) for k in range(50)]])
+def test_stream_in_slices_of_few_sources(spark, rows):
+    d = spark.createDataFrame(rows, "src long, dst long, eid long")
+    plain, got = ({r.seg: bytes(r.data) for r in segments.stream(d, 16, n).collect()} for n in (1, 4))
+    assert got == plain
+
+
+@pytest.mark.parametrize("name", ["support_vectors", "random_forest"])
+def test_round_trip_alone_in_a_session_leaves_no_dense_edges(spark, sf, tmp_path, name, monkeypatch):
+    """They and their ids stayed beside what was restored; where another query built them they still stay."""
+    os.symlink(sf, tmp_path / "alone")
+    monkeypatch.setattr(runtime, "shared_dir", lambda _: str(tmp_path / "shared"))
+    got = catalog.QUERIES[f"learned_roundtrip_{name}"](spark, f"{tmp_path}/alone")
+    assert _kinds(tmp_path / "shared") == ["restored", "running"]
+    got = sorted(map(tuple, got.select("src", "dst", "eid").collect()))
+    assert got == sorted(map(tuple, base.dense(spark, f"{tmp_path}/alone")[1].select("src", "dst", "eid").collect()))
+    catalog.QUERIES[f"learned_roundtrip_{name}"](spark, f"{tmp_path}/alone")
+    assert {"dense", "dense-edges"} < set(_kinds(tmp_path / "shared"))
+
+
 def test_net_in_whole_numbers_predicts_alike_in_any_batch():
     """As the net it is made of but for near ties, and exactly as plain whole numbers, whatever stands beside a row."""
     r = np.random.default_rng(5)
